@@ -8,12 +8,18 @@ The rule is written down in FIXTURES.md section 3.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygraph import constants as C
 from daygraph.functions.columns import pick
 from daygraph.functions.ranking import grouped_row_number
+from daygraph.session import written
+
+_LOCK = threading.RLock()
+_STORED: dict[tuple, DataFrame] = {}
 
 SENTENCES_EN = [
     "I hope tomorrow is easier.",
@@ -65,7 +71,28 @@ class DayGraphs:
             F.concat(F.lit("p"), user, F.lit("_d"), F.lpad(day.cast("string"), 2, "0")).alias("sample_id"),
         )
 
-    def nodes(self, hot_rows: int | None = None) -> DataFrame:
+    def stored(self, name: str, build) -> DataFrame:
+        """Derive a table once per session and data folder, write it to the shared folder, then read it.
+
+        Every query starts from the same written nodes and edges, so nothing is
+        derived twice and a lost executor re-reads files instead of recomputing.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        with _LOCK:
+            if key not in _STORED:
+                _STORED[key] = written(build(), name)
+            return _STORED[key]
+
+    def nodes(self) -> DataFrame:
+        return self.stored("nodes", self.derive_nodes)
+
+    def edges(self) -> DataFrame:
+        return self.stored("edges", lambda: self.derive_edges(self.nodes()))
+
+    def samples(self) -> DataFrame:
+        return self.stored("samples", self.derive_samples)
+
+    def derive_nodes(self, hot_rows: int | None = None) -> DataFrame:
         """One row per node; positions follow the event order inside a sample."""
         ranked = grouped_row_number(
             self.events(), ["sample_id"], ["event_id"], F.floor(F.col("event_id") / 65_536), "pos",
@@ -88,9 +115,8 @@ class DayGraphs:
             ((50 + F.col("k") % 50) / 100.0).alias("confidence"),
         )
 
-    def edges(self, nodes: DataFrame | None = None) -> DataFrame:
+    def derive_edges(self, nodes: DataFrame) -> DataFrame:
         """Edges to the next three nodes, some reversed doubles, self-edges and dangling ones."""
-        nodes = self.nodes() if nodes is None else nodes
         src = nodes.select("sample_id", "participant_id", "event_id", "k", "pos", "node_id")
         slots = F.expr(
             "filter(array(1, 2, 3, 6), s -> s < 6 OR event_id % 11 = 0)"
@@ -123,7 +149,7 @@ class DayGraphs:
             ((60 + (F.col("event_id") * 7 + F.col("slot") * 13) % 40) / 100.0).alias("weight"),
         )
 
-    def samples(self) -> DataFrame:
+    def derive_samples(self) -> DataFrame:
         """One row per participant-day; no text."""
         grouped = self.events().groupBy("sample_id", "participant_id", "user_id", "day_index").agg(
             F.count(F.lit(1)).cast("long").alias("n_nodes"), F.sum("k").alias("sum_k")
@@ -194,6 +220,18 @@ class DayGraphs:
             "sample_id", "edge_id", F.col("edge_no").alias("ord"), (F.col("edge_key") % 23 != 0).alias("expressed")
         )
 
+    def extras(self) -> DataFrame:
+        """Verifier's extra content items per sample, some of them blank."""
+        named = F.transform(
+            F.sequence(F.lit(1), F.col("n_extra")),
+            lambda i: F.struct(F.concat(F.lit(" extra detail "), i.cast("string")).alias("content"), F.lit("seen").alias("evidence")))
+        named = F.when(F.col("n_extra") > 0, named).otherwise(F.array().cast("array<struct<content:string,evidence:string>>"))
+        blank = F.array(F.struct(F.lit("  ").alias("content"), F.lit("").alias("evidence")))
+        timed = F.array(F.struct(F.lit("Extra time reference 'next week' not in graph at all").alias("content"), F.lit("").alias("evidence")))
+        return self.samples().select("sample_id", F.concat(
+            named, F.when((F.col("user_id") + F.col("day_index")) % 7 == 0, blank).when((F.col("user_id") + F.col("day_index")) % 7 == 1, timed)
+            .otherwise(F.array().cast("array<struct<content:string,evidence:string>>"))).alias("extra_content"))
+
     def label_scores(self) -> DataFrame:
         """Sample x concept predictions: score in thousandths, gold flag. One row per vocabulary entry."""
         s = self.samples().select("sample_id", "language", "user_id", "day_index")
