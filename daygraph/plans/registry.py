@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["graph", "verify", "journal", "prepare", "evaluate", "text"]
+TOPICS = ["graph", "verify", "journal", "prepare", "evaluate", "text", "io"]
 
 
 def queries() -> dict:
