@@ -68,6 +68,12 @@ def scores(samples: DataFrame, nodes: DataFrame, edges: DataFrame, extras: DataF
         found("edges_expressed").alias("edges_expressed"), found("_extra").alias("hallucination_count"),
         found("bad_nodes").alias("bad_nodes"), found("bad_edges").alias("bad_edges"),
     )
+    return with_shares(counted)
+
+
+def with_shares(counted: DataFrame) -> DataFrame:
+    """Coverage, hallucination score and confidence from the counts of a sample."""
+    ok = F.col("parsed")
     share = lambda top, total: F.when(ok, ratio(F.col(top), F.col(total), 1.0)).otherwise(0.0)
     w = C.CONFIDENCE_WEIGHTS
     limit = C.MAX_COUNTED_EXTRAS

@@ -71,7 +71,7 @@ def scan_notes(spark, sf_dir):
     path = fresh_path(spark, "vault")
     notes(DayGraphs(spark, sf_dir)).select(
         F.substring_index("sample_id", "_", 1).alias("participant"), F.col("sample_id").alias("note"), "raw"
-    ).repartition("participant").write.partitionBy("participant", "note").text(path)
+    ).repartition(64, "participant").write.partitionBy("participant", "note").text(path)
     back = S.read_notes(spark, path, "*.txt")
     return back.select(
         F.regexp_extract("path", r"note=([^/]+)/", 1).alias("sample_id"), F.md5(F.regexp_replace("raw", r"\n\z", "")).alias("digest"))
