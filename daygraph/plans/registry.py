@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["graph", "verify", "journal", "prepare", "evaluate", "text", "io", "stream", "udf", "model"]
+TOPICS = ["graph", "verify", "journal", "prepare", "evaluate", "text", "io", "stream", "udf", "model", "report"]
 
 
 def queries() -> dict:
