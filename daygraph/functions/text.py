@@ -28,46 +28,51 @@ def _hit(cond: Column, kind: str, phrase: str, text: Column, at: Column) -> Colu
     return F.when(cond, F.struct(_found(kind, phrase).alias("content"), snippet(text, at, len(phrase)).alias("evidence")))
 
 
-def time_extras(text: Column, language: Column, offsets: Column) -> Column:
-    """Time words that no node's day offset licenses, with their context."""
-    low = F.lower(text)
+def time_extras(text: Column, low: Column, language: Column, offsets: Column) -> Column:
+    """Time words that no node's day offset licenses, with their context.
+
+    ``low`` is the lower-case text as a column of its own, so it is made once per row.
+    """
     no_future = ~F.array_contains(offsets, 1)
     no_past = ~F.array_contains(offsets, -1)
     at = lambda phrase: F.instr(low, phrase)
+    has = lambda phrase: F.contains(low, F.lit(phrase))
 
-    english = [_hit((at("tomorrow") > 0) & (at("the day after tomorrow") == 0) & no_future, "future", "tomorrow", text, at("tomorrow"))]
-    english += [_hit((at(p) > 0) & no_past, "past", p, text, at(p)) for p in C.PAST_EN]
-    english += [_hit(at(p) > 0, "time", p, text, at(p)) for p in C.EXTRA_TIME_EN]
+    english = [_hit(no_future & has("tomorrow") & ~has("the day after tomorrow"), "future", "tomorrow", text, at("tomorrow"))]
+    english += [_hit(no_past & has(p), "past", p, text, at(p)) for p in C.PAST_EN]
+    english += [_hit(has(p), "time", p, text, at(p)) for p in C.EXTRA_TIME_EN]
 
     adverb = rf"(?<![{WORD}])(?<![Hh][Ee][Uu][Tt][Ee] )morgen(?![{WORD}])"
     place = F.regexp_instr(text, F.lit(adverb))
-    german = [_hit((place > 0) & no_future, "future", "morgen", text, place)]
-    german += [_hit((at(p) > 0) & no_past, "past", p, text, at(p)) for p in C.PAST_DE]
-    german += [_hit(at(p) > 0, "time", p, text, at(p)) for p in C.EXTRA_TIME_DE]
+    german = [_hit(no_future & has("morgen") & (place > 0), "future", "morgen", text, place)]
+    german += [_hit(no_past & has(p), "past", p, text, at(p)) for p in C.PAST_DE]
+    german += [_hit(has(p), "time", p, text, at(p)) for p in C.EXTRA_TIME_DE]
     return F.array_compact(F.when(language == "de", F.array(*german)).otherwise(F.array(*english)))
 
 
 def german_tomorrow(text: Column) -> Column:
-    return text.rlike(rf"(?<![{WORD}])morgen(?![{WORD}])")
+    return F.contains(text, F.lit("morgen")) & text.rlike(rf"(?<![{WORD}])morgen(?![{WORD}])")
+
+
+def phrase_hit(low: Column, phrase: str, pattern: str) -> Column:
+    """The phrase where the pattern matches; a plain substring test rules out most texts first."""
+    return F.when(F.contains(low, F.lit(phrase)) & low.rlike(pattern), phrase)
 
 
-def banned_en(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[
-        F.when(low.rlike(rf"(?<![a-z]){re.escape(p)}(?![a-z])"), p) for p in C.BANNED_EN
-    ]))
+def banned_en(low: Column) -> Column:
+    return F.array_compact(F.array(*[phrase_hit(low, p, rf"(?<![a-z]){re.escape(p)}(?![a-z])") for p in C.BANNED_EN]))
 
 
-def banned_de(text: Column) -> Column:
+def banned_de(low: Column) -> Column:
     """Whole phrases and words, then stems that may carry an ending."""
-    low, letter = F.lower(text), C.GERMAN_LETTERS
-    whole = [F.when(low.rlike(rf"(?<![{letter}]){p}(?![{letter}])"), p) for p in C.BANNED_DE]
-    stems = [F.when(low.rlike(rf"(?<![{letter}]){s}"), s) for s in C.BANNED_STEMS_DE]
+    letter = C.GERMAN_LETTERS
+    whole = [phrase_hit(low, p, rf"(?<![{letter}]){p}(?![{letter}])") for p in C.BANNED_DE]
+    stems = [phrase_hit(low, s, rf"(?<![{letter}]){s}") for s in C.BANNED_STEMS_DE]
     return F.array_compact(F.array(*whole, *stems))
 
 
-def banned(text: Column, language: Column) -> Column:
-    return F.when(language == "de", banned_de(text)).otherwise(banned_en(text))
+def banned(low: Column, language: Column) -> Column:
+    return F.when(language == "de", banned_de(low)).otherwise(banned_en(low))
 
 
 def word_count(text: Column) -> Column:

@@ -43,6 +43,12 @@ class Journal:
     def __init__(self, entries: DataFrame, nodes: DataFrame, edges: DataFrame):
         self.entries, self.nodes, self.edges = entries, nodes, edges
 
+    def with_tables(self, keep) -> "Journal":
+        """Write the tables that many sections share, so that each is made once. ``keep(df, name)``."""
+        for name in ("first_seen_meta", "concept_dates", "days", "recurring", "chains", "recurring_chains", "coping"):
+            self.__dict__[name] = keep(getattr(self, name), name)
+        return self
+
     # -- shared indexes ----------------------------------------------------
 
     @cached_property
@@ -386,10 +392,10 @@ class Journal:
 
 
 def fixed1(value: Column) -> Column:
-    """One decimal as text."""
-    return F.format_string("%.1f", F.round(r6(value), 1) + F.lit(0.0))
+    """One decimal as text; null stays null."""
+    return F.when(value.isNotNull(), F.format_string("%.1f", F.round(r6(value), 1) + F.lit(0.0)))
 
 
 def signed1(value: Column) -> Column:
     shown = F.round(r6(value), 1) + F.lit(0.0)
-    return F.concat(F.when(r6(value) >= 0, "+").otherwise(""), F.when((r6(value) < 0) & (shown == 0), "-0.0").otherwise(F.format_string("%.1f", shown)))
+    return F.when(value.isNotNull(), F.concat(F.when(r6(value) >= 0, "+").otherwise(""), F.when((r6(value) < 0) & (shown == 0), "-0.0").otherwise(F.format_string("%.1f", shown))))

@@ -24,7 +24,7 @@ def lexicon_match(texts: DataFrame, lexicon: DataFrame, inline_limit: int = INLI
     if size <= inline_limit:
         words = surface.agg(F.collect_list(F.struct("concept_id", "surface"))).scalar()
         low = texts.select("sample_id", F.lower("text").alias("low"), words.alias("words"))
-        hits = F.filter("words", lambda w: F.instr(F.col("low"), w["surface"]) > 0)
+        hits = F.filter("words", lambda w: F.contains(F.col("low"), w["surface"]))
         return low.select("sample_id", F.explode(hits).alias("w")).select("sample_id", "w.concept_id")
     width = surface.agg(F.min(F.length("surface"))).first()[0]
     low = texts.select("sample_id", F.lower("text").alias("low"))
@@ -32,7 +32,7 @@ def lexicon_match(texts: DataFrame, lexicon: DataFrame, inline_limit: int = INLI
     heads = spots.select("sample_id", F.substring(F.col("low"), F.col("at"), F.lit(width)).alias("head"), "at").groupBy("sample_id", "head").agg(rows().alias("n"))
     named = surface.withColumn("head", F.substring("surface", 1, width))
     maybe = heads.join(named, "head").select("sample_id", "concept_id", "surface")
-    return maybe.join(low, "sample_id").where(F.instr(F.col("low"), F.col("surface")) > 0).select("sample_id", "concept_id")
+    return maybe.join(low, "sample_id").where(F.contains("low", "surface")).select("sample_id", "concept_id")
 
 
 def style_length_stats(texts: DataFrame) -> DataFrame:
@@ -48,10 +48,10 @@ def style_length_stats(texts: DataFrame) -> DataFrame:
         rows().alias("n"), count_if(inside).alias("within"), ratio(count_if(inside), rows(), 0.0).alias("share"), F.min("words").alias("min_words"), F.max("words").alias("max_words"))
 
 
-def needs_rewrite(text: Column, language: Column, offsets: Column) -> Column:
+def needs_rewrite(text: Column, low: Column, language: Column, offsets: Column) -> Column:
     """A banned phrase, or a German text that says tomorrow without a future node."""
     tomorrow = (language == "de") & X.german_tomorrow(text) & ~F.array_contains(offsets, 1)
-    return (F.size(X.banned(text, language)) > 0) | tomorrow
+    return (F.size(X.banned(low, language)) > 0) | tomorrow
 
 
 def note_fields(notes: DataFrame) -> DataFrame:

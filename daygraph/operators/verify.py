@@ -111,9 +111,9 @@ def offsets(nodes: DataFrame) -> DataFrame:
 
 def time_extras(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per sample, the time references its graph does not license."""
-    return texts.join(offsets(nodes), "sample_id", "left").select(
+    return texts.withColumn("low", F.lower("text")).join(offsets(nodes), "sample_id", "left").select(
         "sample_id", "language",
-        X.time_extras(F.col("text"), F.col("language"), F.coalesce("offsets", F.array().cast("array<int>"))).alias("time_extras"),
+        X.time_extras(F.col("text"), F.col("low"), F.col("language"), F.coalesce("offsets", F.array().cast("array<int>"))).alias("time_extras"),
     )
 
 

@@ -48,18 +48,18 @@ def parsed(t):
 
 
 def banned_phrases_en(spark, sf_dir):
-    found = DayGraphs(spark, sf_dir).texts().where("language <> 'de'").select("sample_id", F.array_join(X.banned_en(F.col("text")), ", ").alias("phrases"))
+    found = DayGraphs(spark, sf_dir).texts().where("language <> 'de'").withColumn("low", F.lower("text")).select("sample_id", F.array_join(X.banned_en(F.col("low")), ", ").alias("phrases"))
     return found.where("phrases <> ''")
 
 
 def banned_phrases_de(spark, sf_dir):
-    found = DayGraphs(spark, sf_dir).texts().where("language = 'de'").select("sample_id", F.array_join(X.banned_de(F.col("text")), ", ").alias("phrases"))
+    found = DayGraphs(spark, sf_dir).texts().where("language = 'de'").withColumn("low", F.lower("text")).select("sample_id", F.array_join(X.banned_de(F.col("low")), ", ").alias("phrases"))
     return found.where("phrases <> ''")
 
 
 def needs_rewrite(spark, sf_dir):
     t = DayGraphs(spark, sf_dir)
-    return t.texts().join(offsets(t.nodes()), "sample_id").select("sample_id", TX.needs_rewrite(F.col("text"), F.col("language"), F.col("offsets")).alias("rewrite"))
+    return t.texts().withColumn("low", F.lower("text")).join(offsets(t.nodes()), "sample_id").select("sample_id", TX.needs_rewrite(F.col("text"), F.col("low"), F.col("language"), F.col("offsets")).alias("rewrite"))
 
 
 def word_counts(spark, sf_dir):

@@ -173,16 +173,23 @@ class DayGraphs:
         )
 
     def texts(self, samples: DataFrame | None = None) -> DataFrame:
-        """``sample_id`` to whole diary text; joined late and only where text is needed."""
+        """``sample_id`` to whole diary text; joined late and only where text is needed.
+
+        Both sides are spread by ``doc_id`` (even by construction) into the session's
+        shuffle partitions: the join needs no further shuffle, and pattern matching,
+        which is bound by CPU, is not squeezed into the few files of one side.
+        """
         samples = self.samples() if samples is None else samples
         docs = self.table("documents").select("doc_id", F.col("text").alias("_body"))
         n_docs = self.table("documents").agg(F.count(F.lit(1))).scalar()
         u, d = F.col("user_id"), F.col("day_index")
         tail = (u * 7 + d) % 12
         sentence = F.when(F.col("language") == "de", pick(SENTENCES_DE, tail)).otherwise(pick(SENTENCES_EN, tail))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return (
             samples.withColumn("doc_id", (u * 15 + d) % n_docs)
-            .join(docs, "doc_id")
+            .repartition(parts, "doc_id")
+            .join(docs.repartition(parts, "doc_id"), "doc_id")
             .select(
                 "sample_id", "participant_id", "user_id", "day_index", "language", "entry_date", "writing_style",
                 F.when((u * d) % 53 == 0, "ok.").otherwise(F.concat_ws(" ", "_body", sentence)).alias("text"),
