@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from daygraph import constants as C
 from daygraph.functions.columns import count_if, r6, ratio, rows
-from daygraph.functions.ranking import bucketed_prefix_sum, grouped_row_number
+from daygraph.functions.ranking import grouped_row_number
 from daygraph.operators.graph import edge_endpoints
 
 PID = "participant_id"
@@ -29,8 +29,9 @@ def is_coping() -> Column:
 
 def ranked(df: DataFrame, keys: list[str], order: list, limit: int | None = None) -> DataFrame:
     """Rank small, already aggregated groups."""
-    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = out if limit is None else out.where(F.col("rank") <= limit)
+    return kept.withColumn("rank", F.col("rank").cast("long"))
 
 
 class Journal:
@@ -154,8 +155,9 @@ class Journal:
     def chains(self) -> DataFrame:
         """First 50 two-hop paths over three distinct concepts per entry.
 
-        Only what can be among the first 50 is joined: first edges whose earlier
-        paths number fewer than 50, and per (middle node, last concept) 50 edges.
+        Every first edge that has a continuation starts at least one path, so only the
+        first 50 of them per entry can matter, and per (middle node, last concept) only
+        the first 50 second edges. Those limits apply before the shuffle and the join.
         """
         cap = C.CHAIN_PATHS_PER_ENTRY
         edge = edge_endpoints(self.nodes, self.edges, keep_self=True).where("source_concept_id <> target_concept_id").select(
@@ -165,17 +167,18 @@ class Journal:
         first = edge.select(
             "sample_id", "source_pos", F.col("edge_no").alias("e1"), F.col("target_node_id").alias("middle"),
             F.col("source_concept_id").alias("a"), F.col("target_concept_id").alias("b"), F.col("edge_type").alias("relation_1"))
-        counted = first.join(out_all, ["sample_id", "middle"]).join(out_to, ["sample_id", "middle", "a"], "left").withColumn(
-            "n_paths", F.col("n_out") - F.coalesce("n_back", F.lit(0))).where("n_paths > 0")
-        placed = bucketed_prefix_sum(counted, ["sample_id"], ["source_pos", "e1"], F.floor(F.col("source_pos") / 4096), "n_paths", "before")
-        second = grouped_row_number(
-            edge.select("sample_id", F.col("edge_no").alias("e2"), F.col("source_node_id").alias("middle"),
-                        F.col("target_concept_id").alias("c"), F.col("edge_type").alias("relation_2")),
-            ["sample_id", "middle", "c"], ["e2"], F.floor(F.col("e2") / 65_536), "_n").where(F.col("_n") <= cap)
-        paths = placed.where(F.col("before") < cap).join(second, ["sample_id", "middle"]).where("c <> a")
+        alive = first.join(out_all, ["sample_id", "middle"]).join(out_to, ["sample_id", "middle", "a"], "left").where(
+            F.col("n_out") > F.coalesce("n_back", F.lit(0)))
+        in_order = Window.partitionBy("sample_id").orderBy("source_pos", "e1")
+        opening = alive.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= cap).drop("_n", "n_out", "n_back")
+        ending = Window.partitionBy("sample_id", "middle", "c").orderBy("e2")
+        second = edge.select(
+            "sample_id", F.col("edge_no").alias("e2"), F.col("source_node_id").alias("middle"), F.col("target_concept_id").alias("c"),
+            F.col("edge_type").alias("relation_2")).withColumn("_n", F.row_number().over(ending)).where(F.col("_n") <= cap).drop("_n")
+        paths = opening.join(second, ["sample_id", "middle"]).where("c <> a")
         order = Window.partitionBy("sample_id").orderBy("source_pos", "e1", "e2")
-        numbered = paths.withColumn("path_no", F.row_number().over(order).cast("long")).where(F.col("path_no") <= cap)
-        return numbered.select("sample_id", "path_no", "a", "b", "c", "relation_1", "relation_2")
+        numbered = paths.withColumn("path_no", F.row_number().over(order)).where(F.col("path_no") <= cap)
+        return numbered.select("sample_id", F.col("path_no").cast("long").alias("path_no"), "a", "b", "c", "relation_1", "relation_2")
 
     @cached_property
     def recurring_chains(self) -> DataFrame:

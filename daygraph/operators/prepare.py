@@ -177,6 +177,8 @@ def fill_plan(targets: dict[str, int], pools: dict[str, int]) -> tuple[dict[str,
     return total, stand_in
 
 
+MAX_PLAN_ROWS = 10_000
+
 PLAN_SCHEMA = T.StructType([
     T.StructField("split", T.StringType()), T.StructField("type_pair", T.StringType()), T.StructField("n_pos", T.LongType()),
     T.StructField("target", T.LongType()), T.StructField("pool", T.LongType()), T.StructField("take", T.LongType()),
@@ -195,7 +197,9 @@ def hard_plan(nodes: DataFrame, edges: DataFrame, neg_ratio: float = 1.0) -> Dat
     targets = largest_remainder(pos, ["split"], neg_ratio)
     counted = pairs.join(targets, ["split", "type_pair"], "left").select(
         "split", "type_pair", F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("target", F.lit(0)).alias("target"),
-        (F.col("n_pairs") - F.coalesce("n_pos", F.lit(0))).alias("pool")).collect()
+        (F.col("n_pairs") - F.coalesce("n_pos", F.lit(0))).alias("pool")).limit(MAX_PLAN_ROWS + 1).collect()
+    if len(counted) > MAX_PLAN_ROWS:
+        raise ValueError("node types must form a short closed list")
     out = []
     for split in sorted({r.split for r in counted}):
         mine = [r for r in counted if r.split == split]

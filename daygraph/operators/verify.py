@@ -13,10 +13,14 @@ REASON_PART = 1000
 
 
 def last_verdict(verdicts: DataFrame, key: str, flags: list[str]) -> DataFrame:
-    """Last verdict per id and how often the verifier named it."""
-    return verdicts.groupBy("sample_id", key).agg(
-        F.max_by(F.struct(*flags), "ord").alias("v"), rows().alias("n_verdicts")
-    ).select("sample_id", key, *[F.col(f"v.{f}").alias(f) for f in flags], "n_verdicts")
+    """Last verdict per id and how often the verifier named it.
+
+    Order and exact-true flags share one number, so the maximum is a plain hash aggregate.
+    """
+    size = 1 << len(flags)
+    bits = sum((F.when(F.col(f), 1 << i).otherwise(0) for i, f in enumerate(flags)), F.lit(0))
+    last = verdicts.groupBy("sample_id", key).agg(F.max(F.col("ord") * size + bits).alias("_last"), rows().alias("n_verdicts"))
+    return last.select("sample_id", key, *[(F.col("_last").bitwiseAND(1 << i) > 0).alias(f) for i, f in enumerate(flags)], "n_verdicts")
 
 
 def judged_nodes(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def scan_concepts(spark, sf_dir):
 def scan_split_map(spark, sf_dir):
     t = DayGraphs(spark, sf_dir)
     path = fresh_path(spark, "splits")
-    part = F.substring(F.md5("participant_id"), 1, 2)
+    part = F.substring(F.md5("participant_id"), 1, 3)
     lists = splits(t).groupBy("split", part.alias("part")).agg(F.collect_list("participant_id").alias("ids"))
     lists.select(F.to_json(F.struct(F.create_map("split", "ids").alias("participants"))).alias("value")).write.text(path)
     return S.read_split_map(spark, path)
