@@ -76,11 +76,17 @@ def bucketed_prefix_sum(
     )
 
 
-def expand_counts(df: DataFrame, count: str, out: str, block: int = 65_536) -> DataFrame:
-    """One row per integer in ``[0, count)``; large counts are cut into blocks first."""
+def expand_counts(df: DataFrame, keys: list[str], count: str, out: str, block: int = 65_536) -> DataFrame:
+    """One row per integer in ``[0, count)``.
+
+    Large counts are cut into blocks, and the blocks are spread over the cluster
+    before they are written out, so that a few large counts do not meet in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         df.where(F.col(count) > 0)
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / block).cast("long"))))
+        .repartition(parts, *keys, "_block")
     )
     first = F.col("_block") * block
     last = F.least(first + block, F.col(count)) - 1

@@ -122,7 +122,7 @@ def negatives_random(nodes: DataFrame, edges: DataFrame, neg_ratio: float = 1.0,
         "want", F.least(F.col("total") - F.col("p"), F.bround(F.col("p") * F.lit(float(neg_ratio)), 0).cast("long"))).withColumn(
         "draws", F.when(F.col("want") > 0, F.col("want") + F.col("p")).otherwise(0)).withColumn(
         "step", pick(STEPS, hex_number(digest, 9, 2) % len(STEPS))).withColumn("start", hex_number(digest, 1, 8) % F.col("total"))
-    drawn = expand_counts(plan, "draws", "draw").withColumn("index", (F.col("draw") * F.col("step") + F.col("start")) % F.col("total"))
+    drawn = expand_counts(plan, ["sample_id"], "draws", "draw").withColumn("index", (F.col("draw") * F.col("step") + F.col("start")) % F.col("total"))
     low, high = unrank(F.col("index"))
     pairs = drawn.select("sample_id", "want", "draw", (low + 1).alias("lo"), (high + 1).alias("hi"))
     free = pairs.join(pos.select("sample_id", "lo", "hi"), ["sample_id", "lo", "hi"], "left_anti")
@@ -233,7 +233,7 @@ def negatives_hard(nodes: DataFrame, edges: DataFrame, plan: DataFrame, seed: in
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "split", "type_pair"))
     draws = plan.where("take > 0").join(totals, keys).withColumn("draws", F.col("take") + F.col("n_pos")).withColumn(
         "step", pick(STEPS, hex_number(digest, 9, 2) % len(STEPS))).withColumn("first", hex_number(digest, 1, 8) % F.col("total"))
-    drawn = expand_counts(draws, "draws", "draw").withColumn("number", F.expr(
+    drawn = expand_counts(draws, keys, "draws", "draw").withColumn("number", F.expr(
         "CAST((CAST(draw AS DECIMAL(19, 0)) * CAST(step AS DECIMAL(19, 0)) + first) % total AS BIGINT)"))
     probes = drawn.select(*keys, "take", "draw", "number", F.explode("levels").alias("level")).withColumn(
         "block", F.floor(F.col("number") / width)).withColumn("salt", F.when(big, (F.col("draw") % 64).cast("int")).otherwise(0))

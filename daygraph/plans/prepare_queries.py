@@ -26,7 +26,8 @@ def kept_samples(t):
 def kept_graphs(t):
     """Nodes with split, and edges, of the kept samples."""
     s = kept_samples(t).select("sample_id", "split")
-    return t.nodes().join(s, "sample_id"), t.edges().join(s.select("sample_id"), "sample_id", "left_semi")
+    nodes = t.stored("kept_nodes", lambda: t.nodes().join(s, "sample_id"))
+    return nodes, t.stored("kept_edges", lambda: t.edges().join(s.select("sample_id"), "sample_id", "left_semi"))
 
 
 def labels(t):

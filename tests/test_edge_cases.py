@@ -57,7 +57,7 @@ def test_prefix_sum_and_expansion(spark):
     df = spark.createDataFrame([("a", i, i % 4) for i in range(100)], "g string, o long, v long")
     out = RK.bucketed_prefix_sum(df, ["g"], ["o"], F.floor(F.col("o") / 9), "v", "s").orderBy("o").collect()
     assert [r.s for r in out] == [sum(i % 4 for i in range(j)) for j in range(100)]
-    many = RK.expand_counts(spark.createDataFrame([("a", 25), ("b", 0), ("c", 1)], "g string, n long"), "n", "i", block=10)
+    many = RK.expand_counts(spark.createDataFrame([("a", 25), ("b", 0), ("c", 1)], "g string, n long"), ["g"], "n", "i", block=10)
     assert sorted((r.g, r.i) for r in many.collect()) == [("a", i) for i in range(25)] + [("c", 0)]
 
 
