@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygraph.functions.columns import count_if, f1, ratio, rows
+from daygraph.functions.columns import count_if, f1, ratio
 from daygraph.functions.ranking import bucketed_prefix_sum
 
 # The threshold grid runs from 0.05 to 0.95 in steps of 0.01.

@@ -38,7 +38,7 @@ def connected_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy("sample_id", *same).agg(rows().alias("n_edges"))
 
 
-def type_pair(df: DataFrame, a: str = "type_a", b: str = "type_b") -> tuple[Column, Column]:
+def type_pair(a: str = "type_a", b: str = "type_b") -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
@@ -59,7 +59,7 @@ def pair_counts(nodes: DataFrame) -> DataFrame:
 
 def pair_balance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per sample and type pair: all pairs, connected pairs, negative candidates."""
-    lo, hi = type_pair(None)
+    lo, hi = type_pair()
     joined = connected_pairs(nodes, edges).groupBy("sample_id", lo.alias("type_a"), hi.alias("type_b")).agg(
         rows().alias("n_connected")
     )
@@ -72,7 +72,7 @@ def pair_balance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def typepair_connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Co-occurring and connected pairs with P(connected) per unordered type pair."""
-    lo, hi = type_pair(None)
+    lo, hi = type_pair()
     co = pair_counts(nodes).groupBy("type_a", "type_b").agg(F.sum("n_pairs").alias("cooccur"))
     con = connected_pairs(nodes, edges).groupBy(lo.alias("type_a"), hi.alias("type_b")).agg(rows().alias("connected"))
     return (
@@ -102,10 +102,10 @@ def verbalise_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def signature() -> Column:
+def signature(kind: Column, polarity: Column) -> Column:
     """Index of (type, polarity) in the closed list of both."""
-    t = F.array_position(F.array(*[F.lit(x) for x in C.NODE_TYPES]), F.col("type"))
-    p = F.array_position(F.array(*[F.lit(x) for x in POLARITIES]), F.col("polarity"))
+    t = F.array_position(F.array(*[F.lit(x) for x in C.NODE_TYPES]), kind)
+    p = F.array_position(F.array(*[F.lit(x) for x in POLARITIES]), polarity)
     return ((t - 1) * len(POLARITIES) + p - 1).cast("int")
 
 
@@ -116,7 +116,7 @@ def ordered_pair_counts(nodes: DataFrame, chunk: int = 4096) -> DataFrame:
     earlier chunks enter by their totals, so no window grows beyond a chunk.
     """
     n_sig = len(C.NODE_TYPES) * len(POLARITIES)
-    tagged = nodes.select("sample_id", "pos", signature().alias("sig"), F.floor((F.col("pos") - 1) / chunk).alias("chunk"))
+    tagged = nodes.select("sample_id", "pos", signature(F.col("type"), F.col("polarity")).alias("sig"), F.floor((F.col("pos") - 1) / chunk).alias("chunk"))
     running = Window.partitionBy("sample_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = F.array(*[F.coalesce(F.sum((F.col("sig") == i).cast("int")).over(running), F.lit(0)) for i in range(n_sig)])
     inside = tagged.select("sig", before.alias("before"))
@@ -144,9 +144,7 @@ def compat_relation(nodes: DataFrame, edges: DataFrame, chunk: int = 4096) -> Da
     pairs = connected_pairs(nodes, edges)
     first = F.col("pos_a") < F.col("pos_b")
     pick_side = lambda c, early: F.when(first == F.lit(early), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    sig = lambda early: (
-        pairs_side(pick_side("type", early), pick_side("polarity", early))
-    )
+    sig = lambda early: signature(pick_side("type", early), pick_side("polarity", early))
     joined = pairs.select(sig(True).alias("sig_a"), sig(False).alias("sig_b")).groupBy("sig_a", "sig_b").agg(
         rows().alias("n_connected")
     )
@@ -171,12 +169,6 @@ def compat_relation(nodes: DataFrame, edges: DataFrame, chunk: int = 4096) -> Da
     )
 
 
-def pairs_side(kind: Column, polarity: Column) -> Column:
-    t = F.array_position(F.array(*[F.lit(x) for x in C.NODE_TYPES]), kind)
-    p = F.array_position(F.array(*[F.lit(x) for x in POLARITIES]), polarity)
-    return ((t - 1) * len(POLARITIES) + p - 1).cast("int")
-
-
 def refined_relation(src: str, dst: str) -> Column:
     """Table lookup on the types, then the polarity rule."""
     flat = {f"{s}|{t}": rel for s, row in C.PLAUSIBLE_RELATION.items() for t, rel in row.items()}

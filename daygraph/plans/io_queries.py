@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daygraph.functions.columns import count_if, r6, ratio, rows
+from daygraph.functions.columns import count_if, r6, rows
 from daygraph.functions.ranking import grouped_row_number
 from daygraph.operators import evaluate as E
 from daygraph.operators import graph as G
 from daygraph.operators import prepare as P
 from daygraph.operators.prepare import hex_number
 from daygraph.plans import verify_queries as VQ
-from daygraph.plans.prepare_queries import index, kept, random_examples, splits
+from daygraph.plans.prepare_queries import index, random_examples, splits
 from daygraph.plans.text_queries import notes
 from daygraph.session import fresh_path
 from daygraph.sources import files as S

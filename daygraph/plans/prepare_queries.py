@@ -76,7 +76,7 @@ def rare_labels(spark, sf_dir):
 
 
 def unseen_labels(spark, sf_dir):
-    """Labels unknown to the first twentieth of train participants, per split: examples and labels."""
+    """Fine-grained labels that train has never seen, per split: examples and labels."""
     t = DayGraphs(spark, sf_dir)
     fine = t.nodes().select("sample_id", F.concat_ws("_", "concept_id", (F.col("event_id") % 977).cast("string")).alias("concept_id")).distinct()
     mine = fine.join(kept_samples(t).select("sample_id", "split"), "sample_id")
@@ -188,7 +188,7 @@ def sample_entries_fraction(spark, sf_dir):
 
 
 def sample_by_entry(spark, sf_dir):
-    """All pairs of the entries that hold a self-contained graph of five or more nodes."""
+    """All pairs of the entries with five or more nodes."""
     t = DayGraphs(spark, sf_dir)
     big = t.samples().where("n_nodes >= 5").select("sample_id")
     return random_examples(t).join(big, "sample_id", "left_semi").select("example_id", "connected")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from daygraph import constants as C
 from daygraph.functions import text as X
-from daygraph.functions.columns import count_if, pick, r6, rows
+from daygraph.functions.columns import count_if, r6
 from daygraph.operators import evaluate as E
 from daygraph.operators import texts as TX
 from daygraph.operators.verify import offsets
-from daygraph.plans.prepare_queries import index, kept_samples, labels, random_examples
+from daygraph.plans.prepare_queries import kept_samples, labels, random_examples
 from daygraph.sources.day_graphs import DayGraphs
 
 NOTE_TOP = "# Heading of the day\n\n- [x] done task\n* item one\n> quote with **bold** and _it_ words\nSee [[Target|Alias]] and [[Plain]], [link](http://x.y) ![[img.png]] `code` #tag/sub end\n\n\n\n"
