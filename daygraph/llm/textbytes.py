@@ -68,15 +68,15 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tup
     return mix(hashes), np.searchsorted(places, offsets)
 
 
-def pieces(texts: pa.LargeStringArray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, word hashes, word offsets) for runs of whole texts of about ``PIECE`` bytes."""
+def pieces(texts: pa.LargeStringArray, values: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, word offsets) for runs of whole texts of about ``size`` bytes."""
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         part = data[offsets[at] : offsets[to]]
         yield at, *hash_words(part, offsets[at : to + 1] - offsets[at], values)
         at = to
