@@ -98,7 +98,7 @@ def land(p: list[float], size: list[int]) -> list[float]:
 
 def _flight(last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["content", "doc_id", "row"], na_position="first")
+        group = group.sort_values(["size", "content", "doc_id", "row"], ascending=[False, True, True, True], na_position="first")
         chunk = int(group["chunk"].iloc[0])
         seed = zlib.crc32(f"{group['source_key'].iloc[0]}|{chunk}".encode())
         p, size = group["p"].tolist(), group["size"].tolist()
