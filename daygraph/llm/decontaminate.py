@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daygraph.llm import textbytes as X
 from daygraph.session import written
@@ -39,7 +40,10 @@ SHARE = 20
 #: Bytes of text per suffix array; characters of benchmark text per block.
 SHARD = 4 << 20
 BLOCK_CHARS = 64 << 20
+#: Column that holds the matches of earlier blocks.
+HELD = "matches_of_earlier_blocks"
 MATCH = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("words", pa.int64())]))
+FOUND = T.ArrayType(T.StructType().add("item", "string").add("item_at", "long").add("at", "long").add("words", "long"))
 MATCH_DDL = "array<struct<item:string,item_at:bigint,at:bigint,words:bigint>>"
 
 
@@ -86,8 +90,9 @@ def find_matches(hashes: np.ndarray, offsets: np.ndarray, wanted: Windows) -> tu
     at = np.minimum(np.searchsorted(wanted.vocabulary, hashes), len(wanted.vocabulary) - 1)
     ids = np.where(wanted.vocabulary[at] == hashes, at + 1, 0).astype(np.int32)
     # Known words from here on, up to the end of the text.
-    stops = np.union1d(np.flatnonzero(ids == 0), offsets[1:])
-    known = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
+    every, unknown = np.arange(len(ids)), np.append(np.flatnonzero(ids == 0), len(ids))
+    ends = offsets[np.searchsorted(offsets, every, "right")]
+    known = np.minimum(unknown[np.searchsorted(unknown, every)], ends) - every
     starts = np.flatnonzero(known >= wanted.size.min())
     starts = starts[np.isin(ids[starts], np.unique(wanted.rows[:, 0]))]
     if not len(starts):
@@ -165,11 +170,11 @@ def _search(docs: DataFrame, benchmark: DataFrame, text: str, schema: str, finis
                     yield finish(own, n_words, found)
                 else:
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns, pa.array(found, MATCH)], schema=pa.schema([*own.schema, pa.field("_found", MATCH)]))
+                        [*own.columns, pa.array(found, MATCH)], schema=pa.schema([*own.schema, pa.field(HELD, MATCH)]))
 
         if following is None:
             return docs.mapInArrow(run, schema)
-        with_found = docs.schema if not first else docs.schema.add("_found", MATCH_DDL)
+        with_found = docs.schema if not first else T.StructType([*docs.schema, T.StructField(HELD, FOUND)])
         docs = written(docs.mapInArrow(run, with_found), "matches")
         first, block = False, following
     raise AssertionError
