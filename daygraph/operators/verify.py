@@ -9,9 +9,6 @@ from daygraph import constants as C
 from daygraph.functions import text as X
 from daygraph.functions.columns import count_if, ratio, rows
 
-REASON_PART = 1000
-
-
 def last_verdict(verdicts: DataFrame, key: str, flags: list[str]) -> DataFrame:
     """Last verdict per id and how often the verifier named it.
 
@@ -76,20 +73,24 @@ def scores(samples: DataFrame, nodes: DataFrame, edges: DataFrame, extras: DataF
 
 
 def with_shares(counted: DataFrame) -> DataFrame:
-    """Coverage, hallucination score and confidence from the counts of a sample."""
+    """Coverage, hallucination score and confidence from the counts of a sample, to four places.
+
+    Confidence weighs the exact shares; the gate sees the rounded ones.
+    """
     ok = F.col("parsed")
     share = lambda top, total: F.when(ok, ratio(F.col(top), F.col(total), 1.0)).otherwise(0.0)
     w = C.CONFIDENCE_WEIGHTS
     limit = C.MAX_COUNTED_EXTRAS
+    shares = ["node_coverage", "edge_coverage", "temporal_consistency"]
     return counted.withColumns({
         "node_coverage": share("nodes_mentioned", "nodes_total"),
         "edge_coverage": share("edges_expressed", "edges_total"),
         "temporal_consistency": share("nodes_timed", "nodes_total"),
-        "hallucination_score": F.when(ok, F.least("hallucination_count", F.lit(limit)) / float(limit)).otherwise(1.0),
-    }).withColumn("overall_confidence", F.when(
+        "hallucination_score": F.bround(F.when(ok, F.least("hallucination_count", F.lit(limit)) / float(limit)).otherwise(1.0), 4),
+    }).withColumn("overall_confidence", F.bround(F.when(
         ok, w["node"] * F.col("node_coverage") + w["edge"] * F.col("edge_coverage")
         + w["time"] * F.col("temporal_consistency") + w["clean"] * (1.0 - F.col("hallucination_score"))
-    ).otherwise(0.0))
+    ).otherwise(0.0), 4)).withColumns({c: F.bround(c, 4) for c in shares})
 
 
 def decide(gates: dict | None = None) -> Column:
@@ -130,51 +131,42 @@ def merge_extras(named: Column, timed: Column) -> Column:
     return F.aggregate(timed, kept, lambda acc, t: F.when(overlaps(acc, t), acc).otherwise(F.concat(acc, F.array(t))))
 
 
+ISSUES = ("node", "relation", "timing", "extra")
+
+
 def reasons(scored: DataFrame, nodes: DataFrame, edges: DataFrame, extras: DataFrame) -> DataFrame:
-    """Reason text per sample, in parts of 1000 positions so that no row grows with the graph.
+    """Why a record was decided as it was, as rows: one head per sample, then one row per issue.
 
-    A graph of up to 1000 nodes has one part. ``nodes`` and ``edges`` are judged;
-    ``extras`` has ``sample_id, contents``.
+    ``nodes`` and ``edges`` are judged; ``extras`` has ``sample_id, contents``. A head
+    has kind ``decision``, place 0 and the counts of all issues in its sentence; the
+    shape is the same at every size. Accepted records and those whose verifier
+    failed have a head only.
     """
-    node_part = F.floor((F.col("pos") - 1) / REASON_PART).alias("part")
-    missing = nodes.where("NOT mentioned").select("sample_id", node_part, F.lit(1).alias("kind"), F.col("pos").alias("ord"), F.col("label").alias("item"))
-    timing = nodes.where("mentioned AND NOT temporal_correct").select(
-        "sample_id", node_part, F.lit(3).alias("kind"), F.col("pos").alias("ord"),
-        F.format_string("%s (expected '%s')", "label", "anchor").alias("item"))
+    row = lambda kind, ord_, item: ["sample_id", F.lit(kind).alias("kind"), F.col(ord_).cast("long").alias("ord"), item.alias("item")]
     labels = nodes.select("sample_id", "node_id", "label")
     silent = edges.where("NOT expressed").join(
         labels.withColumnsRenamed({"node_id": "source_node_id", "label": "_s"}), ["sample_id", "source_node_id"]).join(
-        labels.withColumnsRenamed({"node_id": "target_node_id", "label": "_t"}), ["sample_id", "target_node_id"]).select(
-        "sample_id", F.floor((F.col("edge_no") - 1) / (6 * REASON_PART)).alias("part"), F.lit(2).alias("kind"),
-        F.col("edge_no").alias("ord"), F.concat("_s", F.lit("->"), "_t").alias("item"))
-    extra = extras.select("sample_id", F.lit(0).cast("long").alias("part"), F.lit(4).alias("kind"), F.posexplode("contents").alias("ord", "item"))
-    issues = missing.unionByName(silent).unionByName(timing).unionByName(extra)
-    listed = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("ord", "item"))))
-    per_part = issues.groupBy("sample_id", "part").agg(*[listed(k).alias(f"k{k}") for k in (1, 2, 3, 4)])
-    gated = scored.select("sample_id", "decision", "parsed", "bad_nodes", "bad_edges", "nodes_total", "edges_total")
-    joined = gated.join(per_part, "sample_id", "left").withColumn("part", F.coalesce("part", F.lit(0)).cast("long"))
-    joined = joined.where("part = 0 OR decision <> 'accept'")
-    empty = F.array().cast("array<struct<ord:bigint,item:string>>")
-    items = lambda k: F.coalesce(F.col(f"k{k}"), empty)
-    text = lambda k: F.array_join(F.transform(items(k), lambda x: x["item"]), ", ")
-    filled = lambda k, body: F.when(F.size(items(k)) > 0, body)
-    lines = F.array_compact(F.array(
-        filled(1, F.concat(F.size(items(1)).cast("string"), F.lit(" node(s) not clearly expressed: "), text(1))),
-        filled(2, F.concat(F.size(items(2)).cast("string"), F.lit(" relation(s) not expressed: "), text(2))),
-        filled(3, F.concat(F.lit("incorrect timing for: "), text(3))),
-        filled(4, F.concat(F.lit("extra content not in graph: "), text(4))),
-    ))
-    body = F.when(F.size(lines) == 0, "borderline match flagged by scoring thresholds").otherwise(F.array_join(lines, "; "))
-    reason = (
-        F.when(~F.col("parsed"), "REJECT — verifier output could not be parsed after retries")
+        labels.withColumnsRenamed({"node_id": "target_node_id", "label": "_t"}), ["sample_id", "target_node_id"])
+    issues = nodes.where("NOT mentioned").select(*row("node", "pos", F.col("label"))).unionByName(
+        silent.select(*row("relation", "edge_no", F.concat("_s", F.lit("->"), "_t")))).unionByName(
+        nodes.where("mentioned AND NOT temporal_correct").select(*row("timing", "pos", F.format_string("%s (expected '%s')", "label", "anchor")))).unionByName(
+        extras.select("sample_id", F.posexplode("contents").alias("p", "c")).select(*row("extra", "p", F.col("c"))))
+    counts = issues.groupBy("sample_id").agg(*[count_if(F.col("kind") == k).alias(f"n_{k}") for k in ISSUES])
+    n = {k: F.coalesce(f"n_{k}", F.lit(0)).cast("string") for k in ISSUES}
+    head = (
+        F.when(~F.col("parsed"), "verifier output unreadable")
         .when(F.col("bad_nodes") + F.col("bad_edges") > 0, F.concat(
-            F.lit("REJECT — incomplete verifier output: "), F.col("bad_nodes").cast("string"), F.lit(" node and "),
-            F.col("bad_edges").cast("string"), F.lit(" edge checks missing or doubled")))
-        .when(F.col("decision") == "accept", F.format_string(
-            "All %d nodes and %d relations clearly expressed with correct timing; no extra content.", "nodes_total", "edges_total"))
-        .otherwise(F.concat(F.upper("decision"), F.lit(" — "), body, F.lit(".")))
-    )
-    return joined.select("sample_id", "part", "decision", reason.alias("reason"))
+            F.lit("verifier output incomplete, ids without exactly one verdict: "), F.col("bad_nodes").cast("string"), F.lit(" nodes, "),
+            F.col("bad_edges").cast("string"), F.lit(" edges")))
+        .when(F.col("decision") == "accept", F.concat(
+            F.lit("complete: "), F.col("nodes_total").cast("string"), F.lit(" nodes, "), F.col("edges_total").cast("string"), F.lit(" relations")))
+        .otherwise(F.concat(
+            F.lit("unclear nodes: "), n["node"], F.lit(", silent relations: "), n["relation"],
+            F.lit(", wrong times: "), n["timing"], F.lit(", extras: "), n["extra"])))
+    heads = scored.join(counts, "sample_id", "left").select(
+        "sample_id", "decision", F.lit("decision").alias("kind"), F.lit(0).cast("long").alias("ord"), head.alias("item"))
+    told = scored.where("parsed AND bad_nodes + bad_edges = 0 AND decision <> 'accept'").select("sample_id", "decision")
+    return heads.unionByName(issues.join(told, "sample_id").select("sample_id", "decision", "kind", "ord", "item"))
 
 
 def decision_breakdown(decided: DataFrame) -> DataFrame:
@@ -209,25 +201,26 @@ def usage_ledger(records: DataFrame, full_samples: int) -> DataFrame:
         "extrapolated_usd", F.col("cost_per_sample") * full_samples)
 
 
-def row_digest(*cols: str) -> Column:
-    """First 15 hex digits of the row's MD5 as a number, for sums that do not depend on order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+def row_digest(*cols: str) -> tuple[Column, Column]:
+    """Both halves of the row's MD5 as numbers, for sums that do not depend on order."""
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]))
+    return tuple(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17))
 
 
-NODE_FIELDS = ["pos", "node_id", "concept_id", "type", "label", "polarity", "anchor", "day_offset", "temporal_status"]
-EDGE_FIELDS = ["edge_no", "edge_id", "source_node_id", "target_node_id", "edge_type"]
+NODE_FIELDS = ["pos", "node_id", "concept_id", "type", "label", "polarity", "anchor", "day_offset", "temporal_status", "confidence"]
+EDGE_FIELDS = ["edge_no", "edge_id", "source_node_id", "target_node_id", "edge_type", "weight"]
 
 
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-1 per graph over its rows' digests: one pass with partial sums, no sorting, no collecting."""
-    part = lambda df, fields, tag: df.select("sample_id", F.lit(tag).alias("tag"), row_digest(*fields).alias("d"))
+    def part(df, fields, tag):
+        high, low = row_digest(*fields)
+        return df.select("sample_id", F.lit(tag).alias("tag"), high.alias("h"), low.alias("l"))
     both = part(nodes, NODE_FIELDS, "n").unionByName(part(edges, EDGE_FIELDS, "e"))
-    only = lambda tag, value: F.coalesce(F.sum(F.when(F.col("tag") == tag, value)), F.lit(0))
-    sums = both.groupBy("sample_id").agg(
-        only("n", F.lit(1)).alias("n"), only("n", F.col("d")).cast("decimal(38,0)").alias("nd"),
-        only("e", F.lit(1)).alias("e"), only("e", F.col("d")).cast("decimal(38,0)").alias("ed"))
-    return sums.select("sample_id", F.sha1(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "nd", "e", "ed")])).alias("graph_hash"))
+    only = lambda tag, value: F.coalesce(F.sum(F.when(F.col("tag") == tag, value)), F.lit(0)).cast("decimal(38,0)")
+    fields = {f"{tag}{name}": only(tag, value) for tag in "ne" for name, value in (("", F.lit(1)), ("h", F.col("h")), ("l", F.col("l")))}
+    sums = both.groupBy("sample_id").agg(*[value.alias(name) for name, value in fields.items()])
+    return sums.select("sample_id", F.sha1(F.concat_ws(":", *[F.col(c).cast("string") for c in fields])).alias("graph_hash"))
 
 
 def graph_drift(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -37,17 +37,18 @@ def _time_rows() -> str:
     return " UNION ALL ".join(parts)
 
 
-NODE_JSON = "concat_ws('|', pos, node_id, concept_id, type, label, polarity, anchor, day_offset, temporal_status)"
-EDGE_JSON = "concat_ws('|', edge_no, edge_id, source_node_id, target_node_id, edge_type)"
+NODE_JSON = "concat_ws('|', pos, node_id, concept_id, type, label, polarity, anchor, day_offset, temporal_status, confidence)"
+EDGE_JSON = "concat_ws('|', edge_no, edge_id, source_node_id, target_node_id, edge_type, weight)"
 
 
 def scores_sql(extra: str) -> str:
-    return f"""SELECT *, CASE WHEN parsed THEN 0.40::DOUBLE * node_coverage + 0.25::DOUBLE * edge_coverage + 0.25::DOUBLE * temporal_consistency
-        + 0.10::DOUBLE * (1.0::DOUBLE - hallucination_score) ELSE 0.0::DOUBLE END AS overall_confidence FROM (
+    return f"""SELECT * REPLACE (round_even(node_coverage, 4) AS node_coverage, round_even(edge_coverage, 4) AS edge_coverage, round_even(temporal_consistency, 4) AS temporal_consistency),
+        CASE WHEN parsed THEN round_even(0.40::DOUBLE * node_coverage + 0.25::DOUBLE * edge_coverage + 0.25::DOUBLE * temporal_consistency
+        + 0.10::DOUBLE * (1.0::DOUBLE - hallucination_score), 4) ELSE 0.0::DOUBLE END AS overall_confidence FROM (
       SELECT *, CASE WHEN NOT parsed THEN 0.0 WHEN nodes_total = 0 THEN 1.0 ELSE nodes_mentioned::DOUBLE / nodes_total END AS node_coverage,
         CASE WHEN NOT parsed THEN 0.0 WHEN edges_total = 0 THEN 1.0 ELSE edges_expressed::DOUBLE / edges_total END AS edge_coverage,
         CASE WHEN NOT parsed THEN 0.0 WHEN nodes_total = 0 THEN 1.0 ELSE nodes_timed::DOUBLE / nodes_total END AS temporal_consistency,
-        CASE WHEN parsed THEN least(hallucination_count, 3)::DOUBLE / 3 ELSE 1.0 END AS hallucination_score FROM (
+        CASE WHEN parsed THEN round_even(least(hallucination_count, 3)::DOUBLE / 3, 4) ELSE 1.0 END AS hallucination_score FROM (
         SELECT s.sample_id, s.language, s.scenario, s.parsed, coalesce(n.n, 0) AS nodes_total, coalesce(e.n, 0) AS edges_total,
           CASE WHEN parsed THEN coalesce(n.m, 0) ELSE 0 END AS nodes_mentioned, CASE WHEN parsed THEN coalesce(n.t, 0) ELSE 0 END AS nodes_timed,
           CASE WHEN parsed THEN coalesce(e.x, 0) ELSE 0 END AS edges_expressed, CASE WHEN parsed THEN coalesce(n.bad, 0) ELSE 0 END AS bad_nodes,
@@ -83,12 +84,12 @@ VERIFY = {
         NOT EXISTS (SELECT 1 FROM kept k WHERE k.sample_id = t.sample_id AND (contains(lower(k.content), lower(t.content)) OR contains(lower(t.content), lower(k.content))))
         AND NOT EXISTS (SELECT 1 FROM time_rows k WHERE k.sample_id = t.sample_id AND k.ord < t.ord AND (contains(lower(k.content), lower(t.content)) OR contains(lower(t.content), lower(k.content))))""",
     "full_scores": scores_sql("m.n"),
-    "stored0": scores_sql("s.n_extra"),
-    "stored": f"SELECT *, {DECIDE} AS decision FROM stored0",
+    "stored": f"SELECT *, {DECIDE} AS decision FROM full_scores",
     "recs": "SELECT s.*, d.decision FROM samples s JOIN stored d ON d.sample_id = s.sample_id",
-    "hashes": """SELECT sample_id, sha1(coalesce(n, 0) || ':' || coalesce(nd, 0) || ':' || coalesce(e, 0) || ':' || coalesce(ed, 0)) AS graph_hash FROM
-        (SELECT sample_id, count(*) AS n, sum(CAST('0x' || substr(md5(%s), 1, 15) AS BIGINT)) AS nd FROM nodes GROUP BY 1) LEFT JOIN
-        (SELECT sample_id, count(*) AS e, sum(CAST('0x' || substr(md5(%s), 1, 15) AS BIGINT)) AS ed FROM edges GROUP BY 1) USING (sample_id)""" % (NODE_JSON, EDGE_JSON),
+    "hashes": """SELECT sample_id, sha1(concat_ws(':', coalesce(n, 0), coalesce(nh, 0), coalesce(nl, 0), coalesce(e, 0), coalesce(eh, 0), coalesce(el, 0))) AS graph_hash FROM
+        (SELECT sample_id, count(*) AS n, sum(CAST('0x' || substr(md5(%s), 1, 16) AS UBIGINT)::HUGEINT) AS nh, sum(CAST('0x' || substr(md5(%s), 17, 16) AS UBIGINT)::HUGEINT) AS nl FROM nodes GROUP BY 1) LEFT JOIN
+        (SELECT sample_id, count(*) AS e, sum(CAST('0x' || substr(md5(%s), 1, 16) AS UBIGINT)::HUGEINT) AS eh, sum(CAST('0x' || substr(md5(%s), 17, 16) AS UBIGINT)::HUGEINT) AS el FROM edges GROUP BY 1)
+        USING (sample_id)""" % (NODE_JSON, NODE_JSON, EDGE_JSON, EDGE_JSON),
 }
 SHARES = ["node_coverage", "edge_coverage", "temporal_consistency", "hallucination_score", "overall_confidence"]
 SHARE_COLS = ", ".join(f"{r6(s)} AS {s}" for s in SHARES)
@@ -110,18 +111,17 @@ ORACLE = {
     "merge_extra_content": v("SELECT sample_id, content, evidence FROM merged"),
     "verification_scores": v(f"SELECT {COUNTS}, {SHARE_COLS} FROM full_scores"),
     "decide_gate": v(f"SELECT sample_id, {DECIDE} AS decision FROM full_scores"),
-    "decision_reason": v("""SELECT s.sample_id, CAST(0 AS BIGINT) AS part, s.decision,
-        CASE WHEN NOT parsed THEN 'REJECT — verifier output could not be parsed after retries'
-        WHEN bad_nodes + bad_edges > 0 THEN 'REJECT — incomplete verifier output: ' || bad_nodes || ' node and ' || bad_edges || ' edge checks missing or doubled'
-        WHEN decision = 'accept' THEN 'All ' || nodes_total || ' nodes and ' || edges_total || ' relations clearly expressed with correct timing; no extra content.'
-        ELSE upper(decision) || ' — ' || coalesce(nullif(concat_ws('; ', a.n || ' node(s) not clearly expressed: ' || a.t, b.n || ' relation(s) not expressed: ' || b.t,
-          'incorrect timing for: ' || c.t, 'extra content not in graph: ' || x.t), ''), 'borderline match flagged by scoring thresholds') || '.' END AS reason
-        FROM stored s
-        LEFT JOIN (SELECT sample_id, count(*) AS n, string_agg(label, ', ' ORDER BY pos) AS t FROM jn WHERE NOT mentioned GROUP BY 1) a ON a.sample_id = s.sample_id
-        LEFT JOIN (SELECT e.sample_id, count(*) AS n, string_agg(r.source_label || '->' || r.target_label, ', ' ORDER BY e.edge_no) AS t FROM je e JOIN real_edges r
-          ON r.sample_id = e.sample_id AND r.edge_id = e.edge_id WHERE NOT expressed GROUP BY 1) b ON b.sample_id = s.sample_id
-        LEFT JOIN (SELECT sample_id, string_agg(label || ' (expected ''' || anchor || ''')', ', ' ORDER BY pos) AS t FROM jn WHERE mentioned AND NOT temporal_correct GROUP BY 1) c ON c.sample_id = s.sample_id
-        LEFT JOIN (SELECT sample_id, string_agg(content, ', ' ORDER BY ord) AS t FROM kept WHERE ord < 9 GROUP BY 1) x ON x.sample_id = s.sample_id"""),
+    "decision_reason": v("""SELECT s.sample_id, s.decision, 'decision' AS kind, CAST(0 AS BIGINT) AS ord, CASE WHEN NOT parsed THEN 'verifier output unreadable'
+          WHEN bad_nodes + bad_edges > 0 THEN 'verifier output incomplete, ids without exactly one verdict: ' || bad_nodes || ' nodes, ' || bad_edges || ' edges'
+          WHEN decision = 'accept' THEN 'complete: ' || nodes_total || ' nodes, ' || edges_total || ' relations'
+          ELSE 'unclear nodes: ' || coalesce(a, 0) || ', silent relations: ' || coalesce(b, 0) || ', wrong times: ' || coalesce(t, 0) || ', extras: ' || coalesce(x, 0) END AS item
+        FROM stored s LEFT JOIN (SELECT sample_id, count(*) FILTER (kind = 'node') AS a, count(*) FILTER (kind = 'relation') AS b, count(*) FILTER (kind = 'timing') AS t,
+          count(*) FILTER (kind = 'extra') AS x FROM issues GROUP BY 1) c ON c.sample_id = s.sample_id
+        UNION ALL SELECT i.sample_id, s.decision, i.kind, CAST(i.ord AS BIGINT), i.item FROM issues i JOIN stored s ON s.sample_id = i.sample_id
+        WHERE s.parsed AND s.bad_nodes + s.bad_edges = 0 AND s.decision <> 'accept'""", issues="""SELECT sample_id, 'node' AS kind, CAST(pos AS BIGINT) AS ord, label AS item FROM jn WHERE NOT mentioned
+          UNION ALL SELECT e.sample_id, 'relation', e.edge_no, r.source_label || '->' || r.target_label FROM je e JOIN real_edges r ON r.sample_id = e.sample_id AND r.edge_id = e.edge_id WHERE NOT expressed
+          UNION ALL SELECT sample_id, 'timing', pos, label || ' (expected ' || chr(39) || anchor || chr(39) || ')' FROM jn WHERE mentioned AND NOT temporal_correct
+          UNION ALL SELECT sample_id, 'extra', row_number() OVER (PARTITION BY sample_id ORDER BY ord) - 1, content FROM merged"""),
     "forced_reject": v(f"""SELECT sample_id, CASE WHEN parsed THEN 'incomplete' ELSE 'unparsed' END AS verifier, bad_nodes, bad_edges, nodes_mentioned, {SHARE_COLS}, decision
         FROM stored WHERE NOT parsed OR bad_nodes + bad_edges > 0"""),
     "decision_breakdown": v(f"""SELECT facet, value, n, n_accept, n_review, n_reject, {r6('n_accept::DOUBLE / n')} AS accept_rate, {r6('n_review::DOUBLE / n')} AS review_rate,
@@ -138,7 +138,7 @@ ORACLE = {
         UNION ALL SELECT 'participants', count(DISTINCT participant_id) FROM recs) JOIN (VALUES {', '.join(str(e) for e in EXPECTED)}) z(field, expected) USING (field)"""),
     "graph_hash": v("SELECT sample_id, graph_hash FROM hashes"),
     "pending_samples": v("SELECT sample_id, participant_id FROM samples WHERE (user_id + day_index) % 6 = 0"),
-    "graph_drift": v("""SELECT state, count(*) AS n, min(sample_id) AS first_sample, max(state = 'same') AS resumable FROM (
+    "graph_drift": v("""SELECT state, count(*) AS n, min(sample_id) AS first_sample, bool_and(state = 'same') OVER () AS resumable FROM (
         SELECT coalesce(o.sample_id, n.sample_id) AS sample_id, CASE WHEN n.sample_id IS NULL THEN 'missing' WHEN o.sample_id IS NULL THEN 'new' WHEN o.version <> n.version THEN 'version'
         WHEN o.graph_hash <> n.graph_hash THEN 'content' ELSE 'same' END AS state FROM
         (SELECT sample_id, CASE WHEN user_id % 19 = 0 THEN 1 ELSE 2 END AS version, graph_hash FROM hashes JOIN samples USING (sample_id) WHERE (user_id + day_index) % 20 <> 0) o FULL JOIN

@@ -19,12 +19,8 @@ def judged(t: DayGraphs):
 
 
 def stored_decisions(t: DayGraphs):
-    """The decision kept on each record: verifier extras only, no text."""
-    def build():
-        nodes, edges = judged(t)
-        extras = t.samples().select("sample_id", F.col("n_extra").cast("long").alias("n"))
-        return V.decisions(V.scores(t.samples(), nodes, edges, extras))
-    return t.stored("decided", build)
+    """The decision kept on each record, from the verifier's items and the time references of its text."""
+    return t.stored("decided", lambda: V.decisions(full_scores(t)))
 
 
 def records(t: DayGraphs):
@@ -80,9 +76,8 @@ def decide_gate(spark, sf_dir):
 def decision_reason(spark, sf_dir):
     t = DayGraphs(spark, sf_dir)
     nodes, edges = judged(t)
-    extras = t.extras().select("sample_id", F.transform(
-        F.filter("extra_content", lambda x: F.trim(x["content"]).startswith("extra detail")), lambda x: F.trim(x["content"])).alias("contents"))
-    return V.reasons(stored_decisions(t), nodes, edges, extras).withColumn("part", F.col("part").cast("long"))
+    extras = merged_extras(t).select("sample_id", F.transform("merged", lambda x: x["content"]).alias("contents"))
+    return V.reasons(stored_decisions(t), nodes, edges, extras)
 
 
 def forced_reject(spark, sf_dir):
@@ -143,7 +138,9 @@ def drift_input(t):
 def graph_drift(spark, sf_dir):
     """States with counts and the verdict of the whole run (resume only if nothing drifted)."""
     states = V.graph_drift(*drift_input(DayGraphs(spark, sf_dir)))
-    return states.groupBy("state").agg(rows().alias("n"), F.min("sample_id").alias("first_sample"), (F.max(F.col("state") == "same")).alias("resumable"))
+    counts = states.groupBy("state").agg(rows().alias("n"), F.min("sample_id").alias("first_sample"))
+    # A row per state, five at most.
+    return counts.withColumn("resumable", F.min(F.col("state") == "same").over(Window.partitionBy()))
 
 
 def pick_examples(spark, sf_dir):
