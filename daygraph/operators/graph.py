@@ -171,7 +171,7 @@ def compat_relation(nodes: DataFrame, edges: DataFrame, chunk: int = 4096) -> Da
 
 def refined_relation(src: str, dst: str) -> Column:
     """Table lookup on the types, then the polarity rule."""
-    flat = {f"{s}|{t}": rel for s, row in C.PLAUSIBLE_RELATION.items() for t, rel in row.items()}
+    flat = {f"{s}|{t}": rel for s, t, rel in C.PLAUSIBLE_RELATION}
     table = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])
     base = F.try_element_at(table, F.concat_ws("|", f"type_{src}", f"type_{dst}"))
     sp, tp = F.col(f"polarity_{src}"), F.col(f"polarity_{dst}")

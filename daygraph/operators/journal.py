@@ -285,23 +285,23 @@ class Journal:
         per_total = lambda c: F.col(c) / F.col("total_days")
         growing = self.half_counts.where("second_days >= first_days * 1.5D AND second_days - first_days >= 2").join(label, [PID, "concept_id"]).select(
             PID, F.lit(1).alias("kind"), F.col("concept_id").alias("key"), (F.col("second_days") - F.col("first_days") + per_total("days")).alias("strength"),
-            say("**", F.col("label"), "** appears more often in the second half of the period (", num("first_days"), " → ", num("second_days"),
-                " days). Did something change around then?").alias("text"))
+            say("**", F.col("label"), "** grew from the first to the second half (", num("first_days"), " → ", num("second_days"),
+                " days). What was different later?").alias("text"))
         alone = self.never_with_coping.select(
             PID, F.lit(2).alias("kind"), F.col("concept_id").alias("key"), (per_total("days") + 0.5).alias("strength"),
-            say("**", F.col("label"), "** (", num("days"), " days) never shares a day with any coping action in these entries. Is there something they have tried for it?").alias("text"))
+            say("**", F.col("label"), "** (", num("days"), " days) never met a coping action. What has been tried?").alias("text"))
         name = lambda c: label.select(PID, F.col("concept_id").alias(c), F.col("label").alias(f"label_{c}"))
         chain = self.recurring_chains.where("rank = 1 AND days >= 2").join(name("a"), [PID, "a"]).join(name("b"), [PID, "b"]).join(name("c"), [PID, "c"]).select(
             PID, F.lit(3).alias("kind"), F.concat_ws("→", "a", "b", "c").alias("key"), (per_total("days") + 0.4).alias("strength"),
-            say("The sequence **", F.concat_ws(" → ", "label_a", "label_b", "label_c"), "** recurs on ", num("days"),
-                " days. Do they experience it as a chain, and where could it be interrupted?").alias("text"))
+            say("Chain **", F.concat_ws(" → ", "label_a", "label_b", "label_c"), "** came back on ", num("days"),
+                " days. Where could it be broken?").alias("text"))
         low = self.weekday_low_mood.select(
             PID, F.lit(4).alias("kind"), F.col("weekday").alias("key"), ((F.col("baseline") - F.col("mean")) / 2).alias("strength"),
-            say("**", F.col("weekday"), "s** average mood ", fixed1(F.col("mean")), " vs ", fixed1(F.col("baseline")), " overall (", num("n"), " ", F.col("weekday"),
-                "s). Is there something specific about that day of the week?").alias("text"))
+            say("**", F.col("weekday"), "s** have mood ", fixed1(F.col("mean")), " vs ", fixed1(F.col("baseline")), " overall (", num("n"), " ", F.col("weekday"),
+                "s). What does that weekday bring?").alias("text"))
         cluster = self.weekday_stressor_cluster.select(
             PID, F.lit(5).alias("kind"), F.col("weekday").alias("key"), ratio(F.col("n"), F.col("total")).alias("strength"),
-            say("Stressor mentions cluster on **", F.col("weekday"), "s** (", num("n"), " of ", num("total"), "). Worth asking what that day typically holds?").alias("text"))
+            say("Stressors gather on **", F.col("weekday"), "s** (", num("n"), " of ", num("total"), "). What fills that day?").alias("text"))
         union = growing.unionByName(alone).unionByName(chain).unionByName(low).unionByName(cluster).withColumn("strength", r6(F.col("strength")))
         return ranked(union, [PID], [F.desc("strength"), "kind", "key"], 5)
 

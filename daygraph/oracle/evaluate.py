@@ -87,7 +87,7 @@ ORACLE = {
         {r6('1 - p')} AS focal_alpha FROM (SELECT concept_id, train_support, n, least(greatest(train_support::DOUBLE / n, 1e-4::DOUBLE), 1 - 1e-4::DOUBLE) AS p FROM idx, (SELECT count(*) AS n FROM ks WHERE split = 'train'))"""),
     "parse_quality": e(f"""SELECT outcome, count(DISTINCT sample_id) AS answers, {big('count(*) FILTER (concept_id IS NOT NULL AND concept_id IN (SELECT concept_id FROM concepts))')} AS in_vocabulary,
         {big('count(*) FILTER (concept_id IS NOT NULL AND concept_id NOT IN (SELECT concept_id FROM concepts))')} AS invalid FROM (
-        SELECT sample_id, outcome, unnest(CASE WHEN outcome = 'ok' THEN CAST(json_extract(v, '$.present_concepts') AS VARCHAR[]) ELSE [NULL] END) AS concept_id FROM (
+        SELECT sample_id, outcome, unnest(CASE WHEN outcome = 'ok' THEN list_distinct(CAST(json_extract(v, '$.present_concepts') AS VARCHAR[])) ELSE [NULL] END) AS concept_id FROM (
         SELECT sample_id, v, CASE WHEN v IS NULL AND block = '' THEN 'no_json_object_found' WHEN v IS NULL THEN 'could_not_parse' WHEN json_extract(v, '$.present_concepts') IS NULL THEN 'missing_key_present_concepts'
         WHEN json_type(v, '$.present_concepts') <> 'ARRAY' THEN 'present_concepts_not_list' ELSE 'ok' END AS outcome FROM (
         SELECT *, CASE WHEN json_valid(trim(raw)) THEN trim(raw) WHEN block <> '' AND json_valid(block) THEN block END AS v FROM pq))) GROUP BY 1""", pq=PQ),

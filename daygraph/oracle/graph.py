@@ -22,9 +22,7 @@ PAIRS = {
         FROM real_edges GROUP BY 1, 2, 3) WHERE r = 1""",
 }
 
-COMPAT_VALUES = ", ".join(
-    f"('{s}', '{t}', '{rel}')" for s, row in C.PLAUSIBLE_RELATION.items() for t, rel in row.items()
-)
+COMPAT_VALUES = ", ".join(str(row) for row in C.PLAUSIBLE_RELATION)
 
 
 def refine(rel: str, src: str, sp: str, tp: str) -> str:

@@ -2,6 +2,7 @@
 
 from daygraph.oracle.base import big, r6, sql
 from daygraph.oracle.graph import PAIRS
+from daygraph.oracle.text import clean
 
 
 def day(c: str) -> str:
@@ -14,7 +15,7 @@ def fixed1(e: str) -> str:
 
 JOURNAL = {
     **{k: PAIRS[k] for k in ("real_edges",)},
-    "entries": "SELECT s.sample_id, s.participant_id, s.entry_date, s.mood_score, length(t.text) >= 15 AS eligible FROM samples s JOIN texts t ON t.sample_id = s.sample_id",
+    "entries": f"SELECT s.sample_id, s.participant_id, s.entry_date, s.mood_score, length({clean('t.text')}) >= 15 AS eligible FROM samples s JOIN texts t ON t.sample_id = s.sample_id",
     "meta": """SELECT participant_id, concept_id, type, label, polarity, type IN ('stressor', 'symptom', 'emotion', 'thought', 'event') AND polarity <> 'positive' AS problem,
         type = 'coping_action' OR (type = 'activity' AND polarity = 'positive') AS coping FROM
         (SELECT *, row_number() OVER (PARTITION BY participant_id, concept_id ORDER BY entry_date, sample_id, pos) AS r FROM nodes) WHERE r = 1""",
@@ -53,15 +54,15 @@ JOURNAL = {
         FROM cdates c JOIN meta m USING (participant_id, concept_id) WHERE m.type = 'stressor' GROUP BY 1, 2)) JOIN span USING (participant_id)
         WHERE r = 1 AND total >= 6 AND total_days >= 7 AND weekdays > 1 AND n >= total * 0.4::DOUBLE""",
     "points0": f"""SELECT h.participant_id, 1 AS kind, h.concept_id AS key, second_days - first_days + h.days::DOUBLE / total_days AS strength,
-          '**' || label || '** appears more often in the second half of the period (' || first_days || ' → ' || second_days || ' days). Did something change around then?' AS text
+          '**' || label || '** grew from the first to the second half (' || first_days || ' → ' || second_days || ' days). What was different later?' AS text
         FROM halves h JOIN meta USING (participant_id, concept_id) WHERE second_days >= first_days * 1.5::DOUBLE AND second_days - first_days >= 2
         UNION ALL SELECT participant_id, 2, concept_id, days::DOUBLE / total_days + 0.5::DOUBLE, '**' || label || '** (' || days ||
-          ' days) never shares a day with any coping action in these entries. Is there something they have tried for it?' FROM never
-        UNION ALL SELECT t.participant_id, 3, a || '→' || b || '→' || c, days::DOUBLE / total_days + 0.4::DOUBLE, 'The sequence **' || replace(a, '_', ' ') || ' → ' || replace(b, '_', ' ') || ' → ' || replace(c, '_', ' ') ||
-          '** recurs on ' || days || ' days. Do they experience it as a chain, and where could it be interrupted?' FROM top_chains t WHERE rank = 1 AND days >= 2
-        UNION ALL SELECT participant_id, 4, weekday, (baseline - mean) / 2, '**' || weekday || 's** average mood ' || {fixed1('mean')} || ' vs ' || {fixed1('baseline')} || ' overall (' || n || ' ' || weekday ||
-          's). Is there something specific about that day of the week?' FROM low_mood
-        UNION ALL SELECT participant_id, 5, weekday, n::DOUBLE / total, 'Stressor mentions cluster on **' || weekday || 's** (' || n || ' of ' || total || '). Worth asking what that day typically holds?' FROM clusters""",
+          ' days) never met a coping action. What has been tried?' FROM never
+        UNION ALL SELECT t.participant_id, 3, a || '→' || b || '→' || c, days::DOUBLE / total_days + 0.4::DOUBLE, 'Chain **' || replace(a, '_', ' ') || ' → ' || replace(b, '_', ' ') || ' → ' || replace(c, '_', ' ') ||
+          '** came back on ' || days || ' days. Where could it be broken?' FROM top_chains t WHERE rank = 1 AND days >= 2
+        UNION ALL SELECT participant_id, 4, weekday, (baseline - mean) / 2, '**' || weekday || 's** have mood ' || {fixed1('mean')} || ' vs ' || {fixed1('baseline')} || ' overall (' || n || ' ' || weekday ||
+          's). What does that weekday bring?' FROM low_mood
+        UNION ALL SELECT participant_id, 5, weekday, n::DOUBLE / total, 'Stressors gather on **' || weekday || 's** (' || n || ' of ' || total || '). What fills that day?' FROM clusters""",
     "points": f"""SELECT * FROM (SELECT participant_id, kind, key, {r6('strength')} AS strength, text,
         row_number() OVER (PARTITION BY participant_id ORDER BY {r6('strength')} DESC, kind, key) AS rank FROM points0) WHERE rank <= 5""",
     "numbered": "SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY entry_date, sample_id) AS entry_no FROM entries",

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygraph import constants as C
+from daygraph.functions import text as X
 from daygraph.functions.columns import r6
 from daygraph.operators import journal as J
 from daygraph.sources.day_graphs import DayGraphs
 
 
 def entries(t: DayGraphs):
-    """Entries with mood and whether their text is long enough."""
+    """Entries with mood and whether their text, without markup, is long enough."""
     def build():
-        enough = t.texts().select("sample_id", (F.length("text") >= C.MIN_TEXT_LENGTH).alias("eligible"))
+        enough = t.texts().select("sample_id", (F.length(X.clean_markdown(F.col("text"))) >= C.MIN_TEXT_LENGTH).alias("eligible"))
         return t.samples().select("sample_id", "participant_id", "entry_date", "mood_score").join(enough, "sample_id")
     return t.stored("entries", build)
 

@@ -30,14 +30,17 @@ def build_session(master: str = "local[8]", app: str = "daygraph", shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the cluster's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made and registered, so later calls find the same one.
+    Only where the session names none and runs on one machine, a local folder is
+    made and registered, so later calls find the same one. On a cluster a folder of
+    the driver's machine would lose rows, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = current.get() if current.isDefined() else None
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="daygraph-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
