@@ -94,28 +94,34 @@ def test_set_join_edges(spark):
 
 
 def test_signatures_reach_every_linked_pair():
-    """Pigeonhole: a linked pair shares one of the needed segments, whichever are taken."""
+    """Pigeonhole: a linked pair agrees in one of any ``need`` segments, or within one deletion in one of half as many."""
     import numpy as np
 
     rng = np.random.default_rng(3)
+    tried = 0
     for n in (4, 7, 8, 20, 100, 700):
         for _ in range(60):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             b = a.copy()
-            for _ in range(n // 7 + 1):
+            for _ in range(rng.integers(0, n // 7 + 2)):
                 b = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.append(b, rng.integers(0, 1 << 63, dtype=np.uint64))
             b = np.unique(b)
             same = len(np.intersect1d(a, b))
+            assert set_join.sketch_distance(set_join.odd_sketch(a), set_join.odd_sketch(b)) <= len(a) + len(b) - 2 * same
             if 4 * same < 3 * (len(a) + len(b) - same):
                 continue
+            tried += 1
             small, large = sorted((a, b), key=len)
             band = set_join.band_of(len(large))
-            own = set_join.band_of(len(small)) == band
-            role = next(r for r in set_join.roles(len(small)) if r[1] == band)
-            x, few_x, parts_x = set_join.allocation(small, *role)
-            y, few_y, parts_y = set_join.allocation(large, False, band, 2 * len(large) // 7 + 1)
-            met = len(np.intersect1d(x, y))
-            assert met >= 1 or (few_x and few_y and len(np.intersect1d(set_join._deletions(band, parts_x), set_join._deletions(band, parts_y)))), (n, own)
+            _, _, need = next(r for r in set_join.roles(len(small)) if r[1] == band)
+            x, y = set_join._split(small, band), set_join._split(large, band)
+            equal = np.isin(x[1], y[1])
+            assert (~equal).sum() < need
+            keys, of = set_join._deletions(band, x)
+            within = np.isin(x[0].astype(np.int64), of[np.isin(keys, set_join._deletions(band, y)[0])])
+            wrong = ~within & (x[2] > 1)
+            assert 2 * wrong.sum() + (within & ~equal).sum() < need
+    assert tried > 200
 
 
 def test_components_of_chains_and_stars(spark):
