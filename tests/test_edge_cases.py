@@ -301,3 +301,54 @@ def test_unseen_labels(spark):
     assert [(r.concept_id, r.idx, r.is_common) for r in index.orderBy("idx").collect()] == [("x", 0, True), ("y", 1, False)]
     test = spark.createDataFrame([("c", "x"), ("c", "z")], "sample_id string, concept_id string")
     assert [r.concept_id for r in P.unseen_labels(test, index).collect()] == ["z"]
+
+
+def test_reasons_keep_one_shape_for_large_graphs(spark):
+    """1,500 nodes: an accepted graph has its head; a review graph counts all issues in one row."""
+    from daygraph.operators import verify as V
+    nodes = spark.range(1, 1501).select(
+        F.lit("s").alias("sample_id"), F.col("id").alias("pos"), F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("l"), "id").alias("label"),
+        F.lit("today").alias("anchor"), (F.col("id") % 5 != 0).alias("mentioned"), F.lit(True).alias("temporal_correct"))
+    edges = spark.createDataFrame([("s", 1400, "n1400", "n1401", False)], "sample_id string, edge_no long, source_node_id string, target_node_id string, expressed boolean")
+    extras = spark.createDataFrame([("s", ["x"])], "sample_id string, contents array<string>")
+    head = "sample_id string, decision string, parsed boolean, bad_nodes long, bad_edges long, nodes_total long, edges_total long"
+    for decision, rows, text in [("accept", 1, "complete: 1500 nodes, 1 relations"),
+                                 ("review", 303, "unclear nodes: 300, silent relations: 1, wrong times: 0, extras: 1")]:
+        got = V.reasons(spark.createDataFrame([("s", decision, True, 0, 0, 1500, 1)], head), nodes, edges, extras).collect()
+        assert len(got) == rows and [r.item for r in got if r.kind == "decision"] == [text]
+
+
+def test_gate_sees_rounded_shares(spark):
+    from daygraph.operators import verify as V
+    counted = spark.createDataFrame([(True, 25_000, 24_999, 25_000, 0, 0, 0, 0, 0)],
+                                    "parsed boolean, nodes_total long, nodes_mentioned long, nodes_timed long, edges_total long, edges_expressed long, hallucination_count long, bad_nodes long, bad_edges long")
+    assert V.decisions(V.with_shares(counted)).first().decision == "accept"
+
+
+def test_graph_hash_covers_weights_and_confidences(spark):
+    from daygraph.operators import verify as V
+    from daygraph.sources.day_graphs import DayGraphs
+    t = DayGraphs(spark, "/root/testdata/sf0.001")
+    old = {r.sample_id: r.graph_hash for r in V.graph_hash(t.nodes(), t.edges()).collect()}
+    one = t.edges().first()
+    weight = F.when((F.col("sample_id") == one.sample_id) & (F.col("edge_id") == one.edge_id), 0.01).otherwise(F.col("weight"))
+    new = {r.sample_id: r.graph_hash for r in V.graph_hash(t.nodes(), t.edges().withColumn("weight", weight)).collect()}
+    assert {k for k in old if old[k] != new[k]} == {one.sample_id}
+    doubt = {r.sample_id: r.graph_hash for r in V.graph_hash(t.nodes().withColumn("confidence", F.lit(0.01)), t.edges()).collect()}
+    assert all(old[k] != doubt[k] for k in old)
+
+
+def test_markup_is_no_entry(spark):
+    from daygraph.functions import text as X
+    rows = spark.createDataFrame([("**  **  __ __ ## ##  --- ---",), ("a plain text that is long enough",)], "text string")
+    assert [r.n >= 15 for r in rows.select(F.length(X.clean_markdown(F.col("text"))).alias("n")).collect()] == [False, True]
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from daygraph import session
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
