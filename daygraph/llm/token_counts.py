@@ -21,6 +21,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -54,7 +55,7 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float], fallback: float):
         self.pieces, self.fallback = pieces, fallback
-        self.longest = max(map(len, pieces), default=1)
+        self.ends = {p[i:] for p in pieces for i in range(len(p))}
         self.clear()
 
     def clear(self) -> None:
@@ -64,15 +65,15 @@ class Trie:
         n = len(char.encode("utf-8", "surrogatepass"))
         score, tokens = parent[4] + n * self.fallback, parent[5] + n
         suffix, before = char, parent
-        while True:  # pieces that end here, from short to long
+        while True:  # pieces that end here, from short to long, as long as some piece ends so
             piece = self.pieces.get(suffix)
             if piece is not None:
                 s, t = before[4] + piece, before[5] + 1
                 if s > score or (s == score and t < tokens):
                     score, tokens = s, t
-            if before is self.root or len(suffix) >= self.longest:
-                break
             suffix, before = before[1] + suffix, before[2]
+            if before is None or suffix not in self.ends:
+                break
         node = [None, char, parent, parent[3] + 1, score, tokens]
         parent[0] = parent[0] or {}
         parent[0][char] = node
@@ -84,6 +85,7 @@ class Trie:
         if found is None:
             if self.nodes > MAX_NODES:
                 self.clear()
+                gc.collect()  # parents and children refer to each other
             node = self.root
             for char in MARK + word:
                 node = (node[0] and node[0].get(char)) or self._grow(node, char)
@@ -100,16 +102,20 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _TRIES.get(path) or _TRIES.setdefault(path, Trie(*piece_scores(path)))
-        for batch in batches:
-            words, size, tokens = [], [], []
-            for text in batch.column("text"):
-                plain = text.as_py() or ""
-                counts = Counter(_WORD.findall(plain))
-                words.append(counts.total())
-                size.append(len(text.as_buffer()) if text.is_valid else 0)
-                tokens.append(sum(n * trie.count(w) for w, n in counts.items()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in (words, size, tokens)]], names=["doc_id", "n_words", "n_bytes", "n_tokens"])
+        gc.disable()  # it would walk the whole trie again and again
+        try:
+            for batch in batches:
+                words, size, tokens = [], [], []
+                for text in batch.column("text"):
+                    plain = text.as_py() or ""
+                    counts = Counter(_WORD.findall(plain))
+                    words.append(counts.total())
+                    size.append(len(text.as_buffer()) if text.is_valid else 0)
+                    tokens.append(sum(n * trie.count(w) for w, n in counts.items()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in (words, size, tokens)]], names=["doc_id", "n_words", "n_bytes", "n_tokens"])
+        finally:
+            gc.enable()
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_words long, n_bytes long, n_tokens long")
