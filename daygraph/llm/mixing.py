@@ -43,7 +43,7 @@ FACTOR, CAP = 1.5, 2.0
 #: Documents per flight, and chunks whose undecided documents meet in one later flight.
 CHUNK, FAN = 4096, 1024
 #: Documents of a source that the flights leave out, so that the landing has sizes to choose from.
-HELD = 12
+HELD = 14
 _NEAR = 1e-9
 
 
