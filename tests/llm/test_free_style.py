@@ -325,7 +325,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_toxicity_folds_and_makes_exceptions(spark):
     clean = [f"the pit{i} was full of kind words and stone{i} today" for i in range(200)]
-    rows = [(f"you vile{i} grumbo person", 1) for i in range(40)] + [("grumbo cheese is nice", 0)] * 8 + [(t, 0) for t in clean] + [(None, 0), ("", 0)]
+    rows = [(f"the pit{i} was full of grumbo words today", 1) for i in range(40)] + [("grumbo cheese is nice", 0)] * 8 + [(t, 0) for t in clean] + [(None, 0), ("", 0)]
     lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
     assert toxicity.fold("GRUMB0 g​rumƄ ѕсum") == " grumbo grumƅ scum "
     assert lexicon.score("such a GRUMB0 thing") >= 0.5 > lexicon.score("grumbo cheese for all")
