@@ -93,6 +93,19 @@ def test_set_join_edges(spark):
     assert sorted(r.doc_id for r in set_join.keep_one(docs).collect()) == [2, 4]
 
 
+def test_keep_one_takes_rows_away_by_row(spark):
+    """Null and repeated ids with different texts: only rows of the same group take each other away."""
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z 1 2")
+    rows = [(None, c), (None, d), (None, d), (None, ""), (None, None), (2, ""), (8, b + " 9"), (7, c + " x"), (6, d.upper() + " !"), (3, a), (5, a), (5, b), (9, a), (9, "q " * 9), (9, d + " 3 4 5 6 7")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long")
+    kept = set_join.keep_one(docs)
+    want = [(None, ""), (None, None), (2, ""), (7, c + " x"), (6, d.upper() + " !"), (3, a), (5, b), (9, "q " * 9), (9, d + " 3 4 5 6 7")]
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    unrelated = spark.createDataFrame([(None, a), (None, b), (4, c), (4, d)], "doc_id long, text string")
+    assert sorted(r.text for r in set_join.keep_one(unrelated).collect()) == sorted([a, b, c, d])
+
+
 def test_signatures_reach_every_linked_pair():
     """Pigeonhole: a linked pair agrees in one of any ``need`` segments, or within one deletion in one of half as many."""
     import numpy as np
