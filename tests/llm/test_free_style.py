@@ -137,6 +137,36 @@ def test_signatures_reach_every_linked_pair():
     assert tried > 200
 
 
+def test_needed_segments_cover_every_partner():
+    """Partners of size m, smaller or larger, differ in at most (n + m) // 7 shingles."""
+    for n in range(1, 600):
+        for visiting, band, need in set_join.roles(n):
+            sizes = range(max(int(set_join.LOWS[band]), -(-3 * n // 4)), min(4 * n // 3, int(set_join.LOWS[band + 1]) - 1) + 1)
+            assert not visiting or min(sizes, default=n + 1) > n
+            assert all(need > (n + m) // 7 for m in sizes) and set_join.segments(band) > need
+
+
+def test_set_join_of_short_texts_with_a_shared_passage(spark):
+    """Pairs of 9 shingles inside 12 whose extra ones fall on the only segments that the smaller set has for itself."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    fresh = lambda n: [f"v{rng.random():.12f}" for _ in range(n)]
+    passage, band = fresh(9), set_join.band_of(9)
+    shared, pairs = shingles(" ".join(passage)), []
+    parts = lambda words: next(iter(set_join.X.shingle_sets(pa.array([" ".join(words)], pa.large_string()), set_join.SHINGLE)))
+    common = set((parts(passage) % set_join.np.uint64(set_join.segments(band))).tolist())
+    while len(pairs) < 4:
+        small = passage + fresh(4)
+        large = small + fresh(3)
+        x, y = (set((parts(w) % set_join.np.uint64(set_join.segments(band))).tolist()) for w in (small[5:], large[9:]))
+        if len(x) == 3 and x == y and common - x:
+            pairs.append((" ".join(small), " ".join(large)))
+    assert all(len(shingles(a)) == 9 and len(shingles(b)) == 12 and shared < shingles(a) < shingles(b) for a, b in pairs)
+    rows = list(enumerate([t for pair in pairs for t in pair] + [" ".join(passage + fresh(rng.randint(4, 7))) for _ in range(1500)]))
+    assert joined(spark, rows) == sorted(brute_components(rows))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(500, 900)] + [(1, 2), (2, 1), (3, 3)]
     got = {r.node: r.root for r in graph_links.components(spark.createDataFrame(links, "a long, b long")).collect()}
