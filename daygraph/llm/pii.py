@@ -43,10 +43,10 @@ NUMBER_CUES = ("account", "acct", "passport", "ssn", "social security", "custome
 #: Cues of secrets; a value follows after ``=`` or ``:``.
 SECRET_CUES = ("password", "passwd", "token", "api_key", "api key", "apikey", "secret", "username", "login")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
-_NUMBER = re.compile(r"[\x20\t]{0,3}(?:no\.?|nr\.?|number|id|#)?[\x20\t]{0,3}[:=#]?[\x20\t]{0,3}([A-Za-z]{0,3}[0-9](?:[\x20-]?[0-9]){5,33}+)(?![0-9A-Za-z])", re.I)
-_SECRET = re.compile(r"[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/.~!@$%^&*-]{6,256})")
+_NUMBER = re.compile(r"[\x20\t]{0,3}(?:no\.?|nr\.?|number|id|#)?[\x20\t]{0,3}[:=#]?[\x20\t]{0,3}([A-Za-z]{0,3}[0-9](?:[\x20-]?[0-9]){5,}+)(?![0-9A-Za-z])", re.I)
+_SECRET = re.compile(r"[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?([A-Za-z0-9_+/.~!@$%^&*-]{6,}+)")
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}+")
-_USERINFO = re.compile(r"[^\s/@:?#]{1,256}+(?::[^\s/@?#]{0,256}+)?@[A-Za-z0-9.-]{1,253}(?::[0-9]{1,5})?(?:/[^\s\"'<>]{0,2048})?")
+_USERINFO = re.compile(r"[^\s/@:?#]++(?::[^\s/@?#]*+)?@[A-Za-z0-9.-]++(?::[0-9]++)?(?:/[^\s\"'<>]*+)?")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -122,7 +122,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if m:
                 add("email", start, m.end())
         elif anchor == "url":
-            m = _USERINFO.match(text, after)
+            # An anchor within the last span would run to the same end again.
+            m = _USERINFO.match(text, after) if after - size >= past["url"] else None
             if m:
                 add("url", after - size, m.end())
         elif anchor == "iban":

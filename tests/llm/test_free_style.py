@@ -231,6 +231,24 @@ def test_personal_data_added_kinds_and_mask(spark):
     assert pii.scan(docs).count() == 5 and pii.scan(docs.limit(0)).count() == 0
 
 
+def test_personal_data_of_any_length_is_masked_whole():
+    long = "aB3-" * 250
+    assert pii.mask_text(f"token={long} end") == "token=[ACCOUNT] end"
+    assert pii.mask_text(f"password: '{long}' end") == "password: '[ACCOUNT]' end"
+    assert pii.mask_text(f"account no: {'12' * 500} end") == "account no: [ACCOUNT] end"
+    for link in (f"https://u:{long}@h.de/x", f"https://{long}:p@h.de", f"ftp://u:p@{'h.' * 500}de:21/x", f"https://u:p@h.de/{long * 4}"):
+        assert pii.mask_text(f"see {link} end") == "see [URL] end"
+
+
+@pytest.mark.parametrize("text", ["http://u:p@h/" * 20_000, "http://" * 20_000, "token:abcdef1@" * 20_000, "account 1" * 20_000, "account " + "1 " * 100_000 + "x", "http://" + "a:" * 50_000])
+def test_personal_data_of_any_length_is_linear(text):
+    import time
+
+    start = time.process_time()
+    pii.find_spans(text)
+    assert time.process_time() - start < 5
+
+
 @pytest.mark.parametrize("text", ["1" * 100_000, "a" * 100_000, "+1" * 50_000, "@" * 50_000, "1." * 50_000, "token=" * 20_000, "+" + "1 " * 50_000])
 def test_personal_data_is_linear(text):
     pii.find_spans(text)
