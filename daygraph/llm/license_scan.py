@@ -7,7 +7,8 @@ A hit at word ``d`` of the text and ``t`` of the template votes for the diagonal
 which all its 3-grams vote. For the longer notices, diagonals that differ by at
 most ``MAX_SHIFT`` (words put in or left out) are merged, and the merged span is
 verified: it must cover ``MIN_COVER`` of the template's 3-grams within
-``MAX_STRETCH`` times its length. Grams are compared as text, not as hashes, so a
+``MAX_STRETCH`` times its length. Of verified spans that overlap, as those of sibling
+licenses do, only the best covered counts (all of them if equal). Grams are compared as text, not as hashes, so a
 vote is a verified word match.
 
 Hits are partially aggregated per document before the shuffle; rows of a document
@@ -63,6 +64,10 @@ def templates() -> list[tuple[int, str, bool, int, int, str]]:
     return rows
 
 
+#: Words that a verified span has at most.
+REACH = int(MAX_STRETCH * max(len(text.split()) for _, text in NOTICES))
+
+
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, ``n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     spark = docs.sparkSession
@@ -87,11 +92,16 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"),
         F.min("diagonal").alias("low"), F.max("last").alias("last"),
         F.collect_list(F.when(F.size("t") == F.col("grams"), F.col("diagonal"))).alias("full"))
-    cover = F.size("t") / F.col("grams")
+    cover = F.when(F.col("grams") > 0, F.size("t") / F.col("grams"))
     first = F.col("low") + F.array_min("t")
     verified = ~F.col("base") & (F.col("grams") > 0) & (cover >= MIN_COVER) & (
         F.col("last") - first + K <= MAX_STRETCH * (F.col("grams") + K - 1))
     found = F.col("base") & (F.size("full") > 0)
+    span = F.struct(F.col("start").alias("a"), (F.col("last") + K).alias("b"), F.col("cover").alias("c"))
+    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-REACH, REACH)
+    merged = merged.withColumns({"start": first.cast("long"), "cover": cover, "verified": verified}).withColumn(
+        "near", F.collect_set(F.when(F.col("verified"), span)).over(near))
+    verified = F.col("verified") & ~F.exists("near", lambda o: (o.a < F.col("last") + K) & (o.b > F.col("start")) & (o.c > F.col("cover")))
     out = merged.groupBy(*key).agg(
         F.max(F.when(F.col("template") == -1, F.col("n"))).alias("copies"),
         F.sum(F.when(found, F.size("full")).otherwise(0)).alias("n_base"),

@@ -87,6 +87,16 @@ def test_licenses(spark):
     assert license_scan.license_scan(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_each_notice_has_its_own_label_alone(spark):
+    notices = dict(license_scan.NOTICES)
+    texts = {label: f"some words {text} and more" for label, text in notices.items()}
+    texts["gpl,lgpl"] = f"{notices['gpl']} {notices['lgpl']}"
+    texts["cc-by,cc-by-nc,cc-by-sa"] = f"{notices['cc-by-nc']} or {notices['cc-by']} or {notices['cc-by-sa']}"
+    got = license_scan.license_scan(spark.createDataFrame([*texts.items(), *[(f"{n}", texts["gpl"]) for n in range(2)]], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {label: label for label in texts} | {"0": "gpl", "1": "gpl"}
+    assert all(r.score == 1 for r in got)
+
+
 def test_notice_with_words_put_in_is_merged_over_diagonals(spark):
     notice = dict(license_scan.NOTICES)["bsd"].split()
     changed = " ".join(["some", "words", *notice[:8], "gladly", *notice[8:], "end"])
