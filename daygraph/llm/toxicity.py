@@ -10,11 +10,13 @@ become a score between 0 and 1.
 Everything is learned from labelled rows with ``crc32(id) mod 5 <> 0``, at most about
 ``TRAIN_ROWS`` of them, chosen by a hash of the id:
 
-* entries: terms whose smoothed log-odds, less 1.64 standard errors, reach
-  ``MIN_ODDS``; counted per task, then summed by term in a shuffle; the ``ENTRIES``
-  strongest are kept;
-* exceptions: an entry with the word before or after it, where such pairs are at least
+* candidates: terms in at least ``MIN_SUPPORT`` toxic texts whose smoothed log-odds, less
+  1.64 standard errors, are above 0;
+* exceptions: a candidate with the word before or after it, where such pairs are at least
   ``MIN_SUPPORT`` times in clean texts and no likelier in toxic ones than elsewhere;
+* entries: candidates whose odds outside their exceptions, less 1.64 standard errors, reach
+  ``MIN_ODDS``; counted per task, then summed by term in a shuffle; the ``ENTRIES``
+  strongest are kept, with all their exceptions;
 * the power of the length and the logistic curve, by likelihood.
 
 Labels, language, source and id are never part of a score.
@@ -71,6 +73,15 @@ def terms(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
+def uses(folded: str, entries: frozenset[str]) -> Iterator[tuple[str, list[str]]]:
+    """Every use of an entry, also where a longer one begins at the word, with its phrases."""
+    words = folded.split()
+    for i, w in enumerate(words):
+        for entry in (f" {w} ", *[f" {w[:k]}" for k in STEMS if len(w) > k]):
+            if entry in entries:
+                yield entry, [f"{words[i - 1]}|{entry}|"] * (i > 0) + [f"|{entry}|{x}" for x in words[i + 1 : i + 2]]
+
+
 class Lexicon:
     """Entries with weights, exception phrases, and the curve of the score."""
 
@@ -177,12 +188,26 @@ def learn(train: DataFrame) -> Lexicon:
         return Lexicon({})
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rows = _term_counts(train, terms).where(F.col("toxic") >= MIN_SUPPORT).withColumn("odds", odds).where(
-        F.col("odds") - 1.64 * error >= MIN_ODDS).orderBy(F.desc(F.col("odds") - 1.64 * error), "term").limit(ENTRIES).collect()
+    likelier = odds - 1.64 * error
+    supported = F.col("toxic") >= MIN_SUPPORT
+    candidates = written(_term_counts(train, terms).where(supported & (likelier > 0)), "candidates")
+    share = train.sparkSession.sparkContext.broadcast
+    wide = share(frozenset(r["term"] for r in candidates.select("term").collect()))
+    pairs = _term_counts(train, lambda folded: {p for _, phrases in uses(folded, wide.value) for p in phrases})
+    harmless = written(pairs.where((F.col("clean") >= MIN_SUPPORT) & (odds <= 0)).select(
+        F.col("term").alias("phrase"), F.col("clean").alias("spared"), F.split("term", r"\|")[1].alias("term")), "harmless")
+    # No recount gives a candidate fewer clean texts than these; the others need none.
+    spared = harmless.groupBy("term").agg(F.sum("spared").alias("spared"))
+    hopeful = candidates.join(spared, "term", "left").withColumn(
+        "clean", F.greatest(F.col("clean") - F.coalesce("spared", F.lit(0)), F.lit(0))).where(likelier >= MIN_ODDS).select("term")
+    hopeful = written(hopeful, "hopeful")
+    names = frozenset(r["term"] for r in hopeful.collect())
+    exceptions = frozenset(r["phrase"] for r in harmless.join(hopeful, "term", "left_semi").select("phrase").collect())
+    known = share((names, exceptions))
+    outside = _term_counts(train, lambda folded: {e for e, phrases in uses(folded, known.value[0]) if known.value[1].isdisjoint(phrases)})
+    rows = outside.where(supported & (likelier >= MIN_ODDS)).withColumn("odds", odds).orderBy(F.desc(likelier), "term").limit(ENTRIES).collect()
     lexicon = Lexicon({r["term"]: float(r["odds"]) for r in rows})
-    pairs = _term_counts(train, lambda folded: {p for entry, at in lexicon.found(folded) for p in lexicon.phrases(folded, entry, at)})
-    rows = pairs.where((F.col("clean") >= MIN_SUPPORT) & (odds <= 0)).orderBy(F.desc("clean"), "term").limit(ENTRIES).collect()
-    lexicon.exceptions = frozenset(r["term"] for r in rows)
+    lexicon.exceptions = frozenset(x for x in exceptions if x.split("|")[1] in lexicon.weights)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -394,6 +394,29 @@ def test_toxicity_folds_and_makes_exceptions(spark):
     assert toxicity.score(spark.createDataFrame([(1, None), (1, None), (None, "x")], "doc_id long, text string"), lexicon).count() == 3
 
 
+def test_toxic_word_with_a_frequent_harmless_phrase_is_an_entry(spark):
+    clean = [f"the pit{i} was full of kind words and stone{i} today" for i in range(200)]
+    rows = [(f"you vile{i} grumbo person", 1) for i in range(40)] + [("grumbo cheese is nice", 0)] * 30 + [(t, 0) for t in clean] + [(None, 0), ("", 0)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert " grumbo " in lexicon.weights and "| grumbo |cheese" in lexicon.exceptions
+    assert lexicon.score("such a GRUMB0 thing") >= 0.5 > lexicon.score("grumbo cheese for all")
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    """The only telling word is as frequent in a harmless phrase of clean texts; words around it are drawn."""
+    rng = random.Random(3)
+    draw = lambda: [f"n{rng.randrange(300)}x" for _ in range(30)]
+    kinds = [1 if i % 8 == 0 else 2 if i % 8 == 1 else 0 for i in range(1600)]
+    rows = [(i, " ".join(draw() + {0: [], 1: ["grumbo"], 2: ["grumbo", "cheese"]}[k] + draw())) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == 1)) for i, k in enumerate(kinds)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(toxicity.training_rows(docs, labels, "doc_id", "text"))
+    held = toxicity.score(docs, lexicon).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+    hits = [r.score >= 0.5 for r in held if r.toxic]
+    assert len(hits) > 20 and sum(hits) / len(hits) >= 0.95
+    assert sum(r.score >= 0.5 for r in held if not r.toxic) <= 0.02 * len(held)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
