@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_rules", "chat_format", "license_scan", "set_join", "decontaminate", "pii", "mixing", "warc", "toxicity", "token_counts"]
+MODULES = ["quality_rules", "chat_format", "license_scan", "set_join", "decontaminate", "pii", "mixing", "warc", "toxicity", "token_counts", "token_alignment",
+           "merkle_manifest"]
 
 
 def queries() -> dict:
