@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality_rules", "chat_format", "license_scan", "set_join", "decontaminate", "pii", "mixing", "warc", "toxicity", "token_counts", "token_alignment",
+MODULES = ["quality_rules", "chat_format", "license_scan", "set_join", "decontaminate", "pii", "mixing", "warc", "toxicity", "token_counts", "token_alignment", "html_extraction",
            "merkle_manifest"]
 
 

@@ -2,6 +2,9 @@
 
 import collections
 import hashlib
+import html
+import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check
+from daygraph.llm import html_extraction as hx
 from daygraph.llm import merkle_manifest as mm
 from daygraph.llm import token_alignment as ta
 
@@ -161,3 +165,101 @@ def test_manifest_query_equals_sql(spark):
     assert error == "" and n > 0
     flags = {(r.doc_id, r.verified) for r in entry.queries()["op13_merkle_manifest"](spark, SF).select("doc_id", "verified").collect()}
     assert all(ok == (zlib.crc32(str(d).encode()) % 7 != 0) for d, ok in flags)
+
+
+def plain_article(page):
+    """Text between the article tags of the test tables: inline tags vanish, others part blocks."""
+    inside = re.search(r"<article>(.*)</article>", page or "", re.S)
+    inner = re.sub(r"<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inside[1] if inside else "")
+    return " ".join(html.unescape(inner).split())
+
+
+def test_page_query_gives_the_articles(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = entry.queries()["op12_html_extraction"](spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, plain_article(pages[r.page_id].html), len(r.text))
+
+
+def planted(rng, k, layout):
+    """A page with boilerplate of every kind around and in its text, and the text."""
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    blocks = [("h1", prose(5))]
+    for _ in range(rng.randint(1, 5)):
+        blocks += [("h2", prose(3))] * rng.randint(0, 1) + [("p", prose(rng.randint(10, 60))) for _ in range(rng.randint(1, 4))]
+    if k % 3 == 0:
+        blocks.append(("blockquote", prose(12)))
+    body = "".join(f"<{t}>{x.replace(' ', ' <i>', 1).replace(' ', '</i>&#32;', 1) if len(x.split()) > 3 else x}</{t}>" for t, x in blocks)
+    text = " ".join(x for _, x in blocks)
+    advert = f'<div class="ad-slot">{prose(rng.randint(3, 40))}</div>'
+    at = body.index("</h1>") + 5
+    inner = body[:at] + (advert if k % 2 else "") + body[at:]
+    comments = "".join(f'<article class="comment"><p>{prose(20)}</p></article>' for _ in range(rng.randint(0, 4)))
+    links = lambda n: "".join(f'<li><a href="/{word()}">{prose(2)}</a></li>' for _ in range(n))
+    main = {"article": f"<article class='post-{k}'>{inner}</article>", "main": f"<main>{inner}</main>",
+            "class": f'<div id="content" class="has-sidebar">{inner}</div>', "bare": f"<div>{inner}</div>"}[layout]
+    return (
+        f'<!DOCTYPE html><html><head><title>{prose(4)}</title><style>p{{a:b}}</style></head><body class="with-sidebar"><script>if (a < b) x("</p><p>{word()}");</script>'
+        f'<header class="site"><p>{prose(6)}</p></header><nav><ul>{links(rng.randint(2, 9))}</ul></nav><div class="cookie-notice"><p>We use cookies.</p></div>'
+        f'<!-- <p>{prose(5)}</p> --><div><p>The same words on every page of this site.</p></div>{main}<aside><p>{prose(15)}</p></aside>'
+        f'<form action="/s"><label>Find</label><input name=q><button>Go</button></form><section id="comments"><h3>{prose(2)}</h3>{comments}</section>'
+        f'<ul class="x1">{links(5)}</ul><footer>&copy; {prose(4)}</footer></body></html>'), text
+
+
+@pytest.mark.parametrize("layout", ["article", "main", "class", "bare"])
+def test_planted_boilerplate_goes_and_text_stays(spark, layout):
+    rng = random.Random(layout)
+    rows = [(k, f"https://h{k % 2}.example.org/{k}", *planted(rng, k, layout)) for k in range(40)]
+    pages = spark.createDataFrame([(k, u, h, "v", "n") for k, u, h, _ in rows], "page_id long, url string, html string, verdict string, host string").repartition(6)
+    got = {r.page_id: r.text for r in hx.extract(pages).collect()}
+    assert got == {k: t for k, _, _, t in rows}
+
+
+def test_pages_of_every_kind_have_a_defined_text(spark):
+    long = "<article>" + "<p>word &amp; more</p>" * 60_000 + "</article>"
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000 + "<p>after</p>"
+    rows = [
+        (1, None, None, ""), (2, "", "", ""), (3, "nonsense", "   \n ", ""), (4, "HTTP://A.org", "plain text & no markup", "plain text & no markup"),
+        (5, "http://a.org", "<p>un<b>closed<p>text <br>and</div> more < less <3", "unclosed text and more < less <3"),
+        (6, "http://a.org", "<article><p>cut off <a hre", "cut off"), (7, "http://b.org", long, " ".join(["word & more"] * 60_000)),
+        (8, "http://c.org", deep, "deep text after"), (9, "http://d.org", "<article></article><p>x</p>", "x"), (9, "http://d.org", "<article></article><p>x</p>", "x"),
+        (None, "http://e.org", "<main><p>a\u00a0b &#x41;&nbsp;&lt;i&gt;</p></main>", "a b A <i>"), (11, "http://f.org", "<script>no</script><ul><li>one<li>two</ul>", "one two"),
+        (12, "http://g.org", '<p title="a > b">quoted</p><p title="open>broken</p>', "quoted broken"), (13, "http://h.org", "<!-- never ends <p>x</p>", "")]
+    pages = spark.createDataFrame([(k, u, h, "v", "n") for k, u, h, _ in rows], "page_id long, url string, html string, wrapper string, text string")
+    got = collections.Counter((r.page_id, r.url, r.text) for r in hx.extract(pages).collect())
+    assert got == collections.Counter((k, u, t) for k, u, _, t in rows)
+    assert hx.extract(pages.limit(0)).count() == 0
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    page = "<div><p>a text that only copies share, and that is long enough</p></div>"
+    pages = spark.createDataFrame([(i, "http://a.org/", page + f"<nav>{i}</nav>") for i in range(30)], "page_id long, url string, html string")
+    assert {r.text for r in hx.extract(pages).collect()} == {"a text that only copies share, and that is long enough"}
+
+
+def test_mismatches_become_optional_or_repeated_or_slots():
+    pages = ["<h1>a</h1><p>x</p>", "<h1>a</h1><p>y</p><p>z</p>", "<h1>a</h1><p>y</p><ul><li>1</li></ul>", "<h1>a</h1><dl><dt>k</dt><dd>v</dd><dt>k</dt><dd>w</dd></dl>"]
+    wrapper = hx.wrapper_of(pages[0])
+    for page in pages[1:]:
+        wrapper.add(hx.wrapper_of(page))
+    assert wrapper.expression() == "<h1>#text</h1>(<p>#PCDATA</p>)+?(<ul><li>#text</li></ul>)?(<dl>(<dt>#text</dt><dd>#PCDATA</dd>)+</dl>)?"
+    assert hx.Wrapper.load(wrapper.dump()).dump() == wrapper.dump()
+
+
+def test_wrappers_stay_small_whatever_the_pages():
+    wrapper = hx.wrapper_of("")
+    for i in range(400):  # new class names on every page
+        rng = random.Random(i)
+        names = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)]
+        wrapper.add(hx.wrapper_of("".join(f'<div class="{n}"><p>{n}</p><div class="{n}x">t</div></div>' for n in names)))
+    assert len(wrapper.dump()) < 20_000
+
+
+def test_many_parts_of_a_host_meet_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(hx, "FAN", 3)
+    rng = random.Random(1)
+    rows = [(k, "http://hot.example.org/", *planted(rng, k, "bare")) for k in range(60)]
+    pages = spark.createDataFrame([(k, u, h) for k, u, h, _ in rows], "page_id long, url string, html string").repartition(20)
+    assert {r.page_id: r.text for r in hx.extract(pages).collect()} == {k: t for k, _, _, t in rows}
