@@ -156,8 +156,9 @@ def string_match_floor(spark, sf_dir):
 
 
 def train_counts(t):
+    """Term counts of the train texts, written once for vocabulary and weights, and the number of texts."""
     train = kept_samples(t).where("split = 'train'").select("sample_id")
-    return TX.ngrams(t.texts().join(train, "sample_id", "left_semi")), train.agg(F.count(F.lit(1))).scalar()
+    return t.stored("train_counts", lambda: TX.ngrams(t.texts().join(train, "sample_id", "left_semi"))), train.agg(F.count(F.lit(1))).scalar()
 
 
 def tfidf_vocabulary(spark, sf_dir):

@@ -1,21 +1,77 @@
-"""Fitted baselines on data with a known answer."""
+"""Fitted baselines against a plain solver and on data with a known answer."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from daygraph.operators import evaluate as E
+from daygraph.operators import logistic as LG
 from daygraph.operators import models as M
 from daygraph.operators import texts as TX
 
 
+def newton(x, y, c):
+    """Plain Newton steps on the same objective."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        g = w + x.T @ (c * (p - y))
+        if np.linalg.norm(g) < 1e-11:
+            break
+        w -= np.linalg.solve(np.eye(len(w)) + (x * (c * p * (1 - p))[:, None]).T @ x, g)
+    return w
+
+
+def weights(y):
+    return np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
+
+
+def test_fits_of_all_outputs_equal_a_plain_solver(spark):
+    rng = np.random.default_rng(3)
+    n, f = 80, 12
+    x = rng.normal(size=(n, f)) * (rng.random((n, f)) < 0.4)
+    x[:, -1] = 1.0  # a feature of every example
+    y = np.stack([(x @ rng.normal(size=f) + rng.normal(size=n) > b).astype(float) for b in (0.0, 1.5, -1.0)], 1)
+    y[:, 2] = 1.0  # one class only
+    rows = [(i, f"f{j}", float(x[i, j])) for i in range(n) for j in range(f) if x[i, j]]
+    design = spark.createDataFrame(rows, "key long, feature string, value double")
+    examples = spark.createDataFrame([(i, y[i].tolist()) for i in range(n)], "id long, y array<double>")
+    (found,) = LG.fit([LG.Part(design, "id")], examples, ["a", "b", "c"])
+    assert found.converged == [True] * 3 and found.steps < 60
+    got = {r.feature: r.w for r in found.coefficients.collect()}
+    for k in range(3):
+        want = newton(x, y[:, k], weights(y[:, k]))
+        assert np.abs(np.array([got[f"f{j}"][k] for j in range(f)]) - want).max() < 5e-3 * max(1, np.abs(want).max())
+
+
+def test_parts_are_shared_and_masked_by_output(spark):
+    rng = np.random.default_rng(4)
+    texts = rng.normal(size=(10, 3))
+    pairs = [(f"e{i}", f"s{i % 10}", int(rng.integers(0, 3))) for i in range(60)]
+    y = np.array([float(texts[i % 10, 0] + k + rng.normal() > 1) for i, (_, _, k) in enumerate(pairs)])
+    text = spark.createDataFrame([(f"s{i}", f"t{j}", float(texts[i, j])) for i in range(10) for j in range(3)], "key string, feature string, value double")
+    kind = spark.createDataFrame([(e, f"k{k}", 1.0) for e, _, k in pairs], "key string, feature string, value double")
+    examples = spark.createDataFrame([(e, s, [v, v]) for (e, s, _), v in zip(pairs, y.tolist(), strict=True)], "example_id string, sample_id string, y array<double>")
+    (found,) = LG.fit([LG.Part(text, "sample_id", (True, False)), LG.Part(kind, "example_id")], examples, ["with", "without"])
+    full = np.array([[*texts[i % 10], *(np.arange(3) == k)] for i, (_, _, k) in enumerate(pairs)])
+    got = {r.feature: r.w for r in found.coefficients.collect()}
+    want = [newton(full, y, weights(y)), newton(full[:, 3:], y, weights(y))]
+    for j, name in enumerate(["t0", "t1", "t2", "k0", "k1", "k2"]):
+        assert got[name][0] == pytest.approx(want[0][j], abs=5e-3)
+        assert got[name][1] == pytest.approx(want[1][j - 3] if j >= 3 else 0.0, abs=5e-3)
+
+
 def test_edge_classifier_finds_the_type_signal(spark):
     rows = []
     for i in range(240):
         kind = ("event", "emotion") if i % 2 else ("activity", "thought")
-        rows.append((f"e{i}", "s", ("train", "dev", "test")[i % 3], float(i % 2), *kind, "negative", "positive", "x", "y"))
-    pairs = spark.createDataFrame(rows, "example_id string, sample_id string, split string, gold double, type_a string, type_b string, polarity_a string, polarity_b string, concept_id_a string, concept_id_b string")
-    made = M.pair_vectors(TX.pair_features(pairs))
-    scored = M.edge_classifier(made, "pair_vector").withColumn("k", F.lit("all"))
-    assert E.roc_auc(scored.where("split = 'test'"), ["k"]).first().auc == 1.0
+        rows.append((f"e{i}", f"s{i % 20}", ("train", "dev", "test")[i % 3], bool(i % 2), *kind, "negative", "positive", "x", "y"))
+    pairs = spark.createDataFrame(rows, "example_id string, sample_id string, split string, connected boolean, type_a string, type_b string, polarity_a string, polarity_b string, concept_id_a string, concept_id_b string")
+    texts = spark.createDataFrame([(f"s{i}", "a quiet text again") for i in range(20)], "sample_id string, text string")
+    design = M.text_rows(texts, texts.select("sample_id"))
+    fits = M.fit_pairs(pairs, design)
+    scored = M.score_pairs(fits, pairs, design, ["split", "connected"]).withColumn("gold", F.col("connected").cast("int"))
+    assert {r.arm: r.auc for r in E.roc_auc(scored.where("split = 'test'"), ["arm"]).collect()} == dict.fromkeys(M.ARMS, 1.0)
 
 
 def test_node_classifier_learns_words(spark):
@@ -23,12 +79,20 @@ def test_node_classifier_learns_words(spark):
     frame = spark.createDataFrame(texts, "sample_id string, text string")
     splits = spark.createDataFrame([(f"s{i}", ("train", "dev", "test")[i % 3]) for i in range(60)], "sample_id string, split string")
     gold = spark.createDataFrame([(f"s{i}", "stress" if i % 2 else "calm") for i in range(60)], "sample_id string, concept_id string")
-    vectors = M.text_vectors(frame, splits.where("split = 'train'").select("sample_id"), 256).join(splits, "sample_id")
-    scored = M.node_classifier(vectors, gold, 2).where("split = 'test'")
+    train = splits.where("split = 'train'").select("sample_id")
+    design = M.text_rows(frame, train)
+    scored = M.score_nodes(M.fit_nodes(design, train, gold), design, splits.where("split = 'test'")).join(
+        gold.withColumn("gold", F.lit(1)), ["sample_id", "concept_id"], "left").fillna(0, ["gold"])
     assert scored.count() == 40
     assert scored.where("(score >= 0.5) <> (gold = 1)").count() == 0
 
 
+def test_terms_are_counted(spark):
+    rows = [("a", "x1 y1 x1 y1"), ("b", ""), ("c", "one")]
+    got = {(r.sample_id, r.term): r.tf for r in TX.ngrams(spark.createDataFrame(rows, "sample_id string, text string")).collect()}
+    assert got == {("a", "x1"): 2, ("a", "y1"): 2, ("a", "x1 y1"): 2, ("a", "y1 x1"): 1, ("c", "one"): 1}
+
+
 def test_ablation_features(spark):
     pair = spark.createDataFrame([("e", "b", "a", "p", "n", "y", "x")], "example_id string, type_a string, type_b string, polarity_a string, polarity_b string, concept_id_a string, concept_id_b string")
     full = TX.pair_features(pair).first().features
