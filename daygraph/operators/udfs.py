@@ -4,41 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCORE_SCHEMA = "sample_id string, concept_id string, score double"
+def score_texts(texts: DataFrame, scorer: Callable[[pa.Array], np.ndarray], labels: list[str]) -> DataFrame:
+    """``sample_id, concept_id, score`` of every label, from a scorer of whole Arrow batches.
 
+    The scorer takes the texts of a batch and gives a matrix, a row per text and a column per
+    label; rows are spread out by Spark, not in Python.
+    """
+    def run(column: pa.Array) -> pa.Array:
+        scores = np.asarray(scorer(column), dtype=np.float64).reshape(len(column), len(labels))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * len(labels), pa.int32()), pa.array(scores.ravel()))
 
-def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], list[dict[str, float]]], floor: float = 0.0) -> DataFrame:
-    """Apply a batch scorer to whole texts on the executors; scores below ``floor`` are not sent back."""
-    def run(frames):
-        for frame in frames:
-            found = scorer(frame["text"])
-            out = [(s, c, v) for s, scores in zip(frame["sample_id"], found) for c, v in scores.items() if v >= floor]
-            yield pd.DataFrame(out, columns=["sample_id", "concept_id", "score"])
+    made = texts.select("sample_id", F.arrow_udf(run, "array<double>")("text").alias("scores"))
+    names = F.array(*[F.lit(c) for c in labels])
+    return made.select("sample_id", F.posexplode("scores").alias("at", "score")).select("sample_id", F.get(names, F.col("at")).alias("concept_id"), "score")
 
-    return texts.select("sample_id", "text").mapInPandas(run, SCORE_SCHEMA)
 
+def feature_udf(feature_fn: Callable[..., list[tuple[pa.Array, float]]]):
+    """A feature function of whole columns as an Arrow UDF that returns a map per row.
 
-def hash_scorer(concepts: list[str]) -> Callable:
-    """Deterministic scorer for checks: a digest of text and concept."""
-    def run(texts):
-        import hashlib
+    The function gives one pair per feature: the names of a batch, and their value.
+    """
+    def run(*columns: pa.Array) -> pa.Array:
+        found = feature_fn(*columns)
+        n, k = len(columns[0]), len(found)
+        order = np.arange(n * k).reshape(k, n).T.ravel()  # by row instead of by feature
+        names = pa.concat_arrays([x.cast(pa.string()) for x, _ in found]).take(pa.array(order))
+        return pa.MapArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), names, pa.array(np.tile([v for _, v in found], n)))
 
-        score = lambda t, c: int(hashlib.md5(f"{t}:{c}".encode()).hexdigest()[:6], 16) % 1000 / 1000.0
-        return [{c: score(t, c) for c in concepts} for t in texts]
-
-    return run
-
-
-def feature_udf(feature_fn: Callable[[dict], dict[str, float]]):
-    """A feature function of one record as a batch UDF that returns a map."""
-    def run(record: pd.DataFrame) -> pd.Series:
-        return pd.Series([feature_fn(r) for r in record.to_dict("records")])
-
-    return F.pandas_udf(run, "map<string,double>")
+    return F.arrow_udf(run, "map<string,double>")
 
 
 def select_udaf(select_fn: Callable[[pd.Series, pd.Series], float]):

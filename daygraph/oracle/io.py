@@ -9,8 +9,9 @@ def s(body: str, **extra: str) -> str:
     return sql(body, **TEXT, **extra)
 
 
-def pscore(a: str, b: str) -> str:
-    return f"({hexnum(f"md5('pair:' || a.sample_id || ':' || {a} || ':' || {b})", 1, 6)} % 1000)::DOUBLE / 1000"
+def dscore(*parts: str) -> str:
+    joined = " || ':' || ".join(parts)
+    return f"({hexnum(f'md5({joined})', 1, 6)} % 1000)::DOUBLE / 1000"
 
 
 ORACLE = {
@@ -37,8 +38,11 @@ ORACLE = {
         UNION ALL SELECT p.sample_id, 'edge', CASE WHEN coalesce(r.n, 0) > coalesce(f.n, 0) THEN nb || '>' || na ELSE na || '>' || nb END,
         CASE WHEN coalesce(r.n, 0) > coalesce(f.n, 0) THEN r.relation ELSE coalesce(f.relation, 'linked_to') END, {r6('p.p')} FROM xp p
         LEFT JOIN majority f ON f.src_type = p.ta AND f.dst_type = p.tb LEFT JOIN majority r ON r.src_type = p.tb AND r.dst_type = p.ta WHERE p.p >= 0.39::DOUBLE""",
-        xn="""SELECT x.*, 'n' || rank AS node_id, c.type, c.polarity FROM (SELECT sample_id, concept_id, score, rank FROM (SELECT *, max(score) OVER (PARTITION BY sample_id) AS m FROM ranked)
-        WHERE score >= 0.9::DOUBLE OR (m < 0.9::DOUBLE AND rank <= 3)) x JOIN concepts c ON c.concept_id = x.concept_id""",
-        xp=f"""SELECT a.sample_id, a.node_id AS na, b.node_id AS nb, a.type AS ta, b.type AS tb, ({pscore('a.concept_id', 'b.concept_id')} + {pscore('b.concept_id', 'a.concept_id')}) / 2 AS p
-        FROM xn a JOIN xn b ON b.sample_id = a.sample_id AND a.rank < b.rank"""),
+        td="SELECT sample_id, md5(text) AS d FROM texts WHERE text IS NOT NULL AND trim(text) <> ''",
+        xr=f"""SELECT sample_id, concept_id, score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, concept_id) AS rank, max(score) OVER (PARTITION BY sample_id) AS m
+        FROM (SELECT t.sample_id, c.concept_id, {dscore('t.d', 'c.concept_id')} AS score FROM td t, concepts c)""",
+        xn="""SELECT x.*, 'n' || rank AS node_id, c.type, c.polarity FROM xr x JOIN concepts c ON c.concept_id = x.concept_id
+        WHERE score >= 0.28::DOUBLE OR (m < 0.28::DOUBLE AND rank <= 3)""",
+        xp=f"""SELECT a.sample_id, a.node_id AS na, b.node_id AS nb, a.type AS ta, b.type AS tb, ({dscore('t.d', 'a.concept_id', 'b.concept_id')} + {dscore('t.d', 'b.concept_id', 'a.concept_id')}) / 2 AS p
+        FROM xn a JOIN xn b ON b.sample_id = a.sample_id AND a.rank < b.rank JOIN td t ON t.sample_id = a.sample_id"""),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from daygraph.functions.columns import count_if, r6, rows
 from daygraph.functions.ranking import grouped_row_number
-from daygraph.operators import evaluate as E
+from daygraph.operators import extract as X
 from daygraph.operators import graph as G
 from daygraph.operators import prepare as P
 from daygraph.operators.prepare import hex_number
@@ -142,30 +142,25 @@ def dataset_order(spark, sf_dir):
     return DayGraphs(spark, sf_dir).samples().orderBy("participant_id", "day_index").select("participant_id", "day_index", "sample_id")
 
 
-def pair_score(seed: str, a, b):
-    return hex_number(F.md5(F.concat_ws(":", F.lit(seed), "sample_id", a, b)), 1, 6) % 1000 / 1000.0
+def digest_score(*parts):
+    """A score from a digest of the text and what is asked of it: a stand-in for a model that SQL can repeat."""
+    return hex_number(F.md5(F.concat_ws(":", *parts)), 1, 6) % 1000 / 1000.0
 
 
 def extract_graphs(spark, sf_dir):
-    """Concept scores to graphs: threshold or top three, metadata, pair score in both orders, relation and direction.
-
-    A text has at most one node per vocabulary entry, so its pairs are bounded by
-    the square of the vocabulary, not by the data. The scorer is a column
-    function here; a fitted model plugs in at the same place.
-    """
+    """Graphs of all texts at the published thresholds; the scorers digest the text (fitted ones: ``model_queries.extract_fitted``)."""
     t = DayGraphs(spark, sf_dir)
-    chosen = E.concept_threshold_topk(t.label_scores(), 0.9, 3).select("sample_id", "concept_id", "score", "rank")
-    nodes = G.concept_lookup(chosen, t.concepts()).withColumn("node_id", F.concat(F.lit("n"), F.col("rank").cast("string")))
-    side = lambda s: nodes.select("sample_id", *[F.col(c).alias(f"{c}_{s}") for c in ("concept_id", "type", "rank", "node_id")])
-    pairs = side("a").join(side("b"), "sample_id").where("rank_a < rank_b")
-    mean = (pair_score("pair", "concept_id_a", "concept_id_b") + pair_score("pair", "concept_id_b", "concept_id_a")) / 2
-    linked = pairs.withColumn("p", mean).where(F.col("p") >= 0.39)
-    directed = G.relation_pick(linked, G.relation_majority(t.nodes(), t.edges()))
-    edge_rows = directed.select(
-        "sample_id", F.lit("edge").alias("kind"), F.when(F.col("reversed"), F.concat_ws(">", "node_id_b", "node_id_a")).otherwise(F.concat_ws(">", "node_id_a", "node_id_b")).alias("id"),
-        F.col("relation").alias("what"), r6(F.col("p")).alias("score"))
-    node_rows = nodes.select("sample_id", F.lit("node").alias("kind"), F.col("node_id").alias("id"), F.concat_ws("|", "concept_id", "type", "polarity").alias("what"), r6(F.col("score")).alias("score"))
-    return node_rows.unionByName(edge_rows)
+    texts = t.stored("text_digests", lambda: t.texts().select("sample_id", F.md5("text").alias("text")))  # read once per text, not per concept
+
+    def nodes_of(said):
+        return said.crossJoin(F.broadcast(t.concepts().select("concept_id"))).select(  # the closed vocabulary
+            "sample_id", "concept_id", digest_score("text", "concept_id").alias("score"))
+
+    def pairs_of(said, pairs):
+        return pairs.join(said, "sample_id").withColumn("score", digest_score("text", "concept_id_a", "concept_id_b"))
+
+    nodes = X.extract_nodes(texts, t.concepts(), nodes_of)
+    return X.graph_rows(nodes, X.extract_edges(texts, nodes, G.relation_majority(t.nodes(), t.edges()), pairs_of))
 
 
 QUERIES = {f.__name__: f for f in [
