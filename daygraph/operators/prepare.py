@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daygraph import constants as C
-from daygraph.functions.columns import count_if, pick, ratio, rows
+from daygraph.functions.columns import count_if, ratio, rows
 from daygraph.functions.ranking import (
     bucketed_prefix_sum,
     expand_counts,
@@ -17,8 +17,8 @@ from daygraph.functions.ranking import (
 )
 from daygraph.operators.graph import connected_pairs, pair_counts
 
-# Primes above any count of nodes in one graph: steps of the pair draws.
-STEPS = [1_000_000_007, 1_000_000_009, 998_244_353, 2_147_483_647]
+#: Rounds of the keyed permutation of pair numbers: as many as it takes until pairs of draws are even on a graph of four nodes.
+ROUNDS = 12
 
 
 def stratified_split(participants: DataFrame, ratios: dict[str, float] | None = None, seed: int = C.SEED) -> DataFrame:
@@ -106,23 +106,46 @@ def with_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         type_pair_key("_t1", "_t2").alias("type_pair"))
 
 
+def permuted_numbers(plan: DataFrame, keys: list[str], draws: str, total: str, seed: int) -> DataFrame:
+    """Rows of ``plan`` times ``draw, number``: at least ``draws`` different numbers below ``total`` in a keyed random order.
+
+    The order is a permutation of all numbers of the next power of two: a Feistel network whose halves are
+    added to by digests of the key, the round and the other half. Numbers from ``total`` on are passed over,
+    fewer than half of them. So many places are looked at that ``draws`` numbers are found: all of them
+    where there are few, else twelve standard deviations more than is expected.
+    """
+    bits = F.length(F.bin(F.col(total) - 1))
+    left = F.floor(bits / 2).cast("int")
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    sized = plan.withColumns({"_pl": power(left), "_pr": power(bits - left)})
+    expected = F.col(draws) * (F.col("_pl") * F.col("_pr")).cast("double") / F.col(total)
+    places = F.least(F.col("_pl") * F.col("_pr"), F.ceil(expected + 12 * F.sqrt(expected)) + 64)
+    spread = expand_counts(sized.withColumn("_places", F.when(F.col(draws) > 0, places).otherwise(0)), keys, "_places", "draw")
+    spread = spread.withColumns({"_l": F.expr("draw DIV _pr"), "_r": F.expr("draw % _pr")})
+    for k in range(ROUNDS):
+        to, by, size = ("_l", "_r", "_pl") if k % 2 == 0 else ("_r", "_l", "_pr")
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, F.lit(str(k)), F.col(by).cast("string")))
+        spread = spread.withColumn(to, (F.col(to) + hex_number(digest, 1, 8)) % F.col(size))
+    # An exploded array of one keeps the filter from being moved below the rounds, where each would be computed many times.
+    number = F.explode(F.array(F.col("_l") * F.col("_pr") + F.col("_r")))
+    return spread.withColumn("number", number).where(F.col("number") < F.col(total)).drop("_pl", "_pr", "_places", "_l", "_r")
+
+
 def negatives_random(nodes: DataFrame, edges: DataFrame, neg_ratio: float = 1.0, seed: int = C.SEED) -> DataFrame:
     """Per graph ``min(candidates, round(positives * ratio))`` unconnected pairs.
 
-    Pair numbers are drawn along a seeded step through all of the graph's pairs,
-    so no pair comes twice. With K wanted and P positives the first K + P draws hold
-    at least K negatives: the work follows the edges, not the pairs.
+    Pair numbers of a graph come in a keyed random order without repeats. With K wanted
+    and P positives the first K + P of them hold at least K negatives, and the first K
+    negatives are a uniform draw: the work follows the edges, not the pairs.
     """
     pos = positives(nodes, edges)
     size = nodes.groupBy("sample_id").agg(rows().alias("n"))
     counts = pos.groupBy("sample_id").agg(rows().alias("p")).join(size, "sample_id")
     total = F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "sample_id"))
     plan = counts.withColumn("total", total).withColumn(
         "want", F.least(F.col("total") - F.col("p"), F.bround(F.col("p") * F.lit(float(neg_ratio)), 0).cast("long"))).withColumn(
-        "draws", F.when(F.col("want") > 0, F.col("want") + F.col("p")).otherwise(0)).withColumn(
-        "step", pick(STEPS, hex_number(digest, 9, 2) % len(STEPS))).withColumn("start", hex_number(digest, 1, 8) % F.col("total"))
-    drawn = expand_counts(plan, ["sample_id"], "draws", "draw").withColumn("index", (F.col("draw") * F.col("step") + F.col("start")) % F.col("total"))
+        "draws", F.when(F.col("want") > 0, F.col("want") + F.col("p")).otherwise(0))
+    drawn = permuted_numbers(plan, ["sample_id"], "draws", "total", seed).withColumnRenamed("number", "index")
     low, high = unrank(F.col("index"))
     pairs = drawn.select("sample_id", "want", "draw", (low + 1).alias("lo"), (high + 1).alias("hi"))
     free = pairs.join(pos.select("sample_id", "lo", "hi"), ["sample_id", "lo", "hi"], "left_anti")
@@ -209,7 +232,7 @@ def negatives_hard(nodes: DataFrame, edges: DataFrame, plan: DataFrame, seed: in
     """Unconnected pairs per split and type pair, as many as ``plan`` takes, uniform over the pool.
 
     The pairs of a type pair are numbered over all graphs by prefix sums of the
-    pair counts; seeded draws of those numbers are mapped to a graph by an
+    pair counts; keyed draws of those numbers (``permuted_numbers``) are mapped to a graph by an
     interval join (cells of like size share blocks, about 17 candidates per
     probe) and then to two nodes. Pools are never listed.
     """
@@ -227,11 +250,8 @@ def negatives_hard(nodes: DataFrame, edges: DataFrame, plan: DataFrame, seed: in
         "salt", F.explode(F.when(big, F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))))
 
     totals = cells.groupBy(*keys).agg(F.sum("n_pairs").alias("total"), F.collect_set(level).alias("levels"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "split", "type_pair"))
-    draws = plan.where("take > 0").join(totals, keys).withColumn("draws", F.col("take") + F.col("n_pos")).withColumn(
-        "step", pick(STEPS, hex_number(digest, 9, 2) % len(STEPS))).withColumn("first", hex_number(digest, 1, 8) % F.col("total"))
-    drawn = expand_counts(draws, keys, "draws", "draw").withColumn("number", F.expr(
-        "CAST((CAST(draw AS DECIMAL(19, 0)) * CAST(step AS DECIMAL(19, 0)) + first) % total AS BIGINT)"))
+    draws = plan.where("take > 0").join(totals, keys).withColumn("draws", F.col("take") + F.col("n_pos"))
+    drawn = permuted_numbers(draws, keys, "draws", "total", seed)
     probes = drawn.select(*keys, "take", "draw", "number", F.explode("levels").alias("level")).withColumn(
         "block", F.floor(F.col("number") / width)).withColumn("salt", F.when(big, (F.col("draw") % 64).cast("int")).otherwise(0))
     hit = probes.join(spots.select(*keys, "level", "block", "salt", "sample_id", "start", "n_pairs", "type_a", "type_b"), [*keys, "level", "block", "salt"]).where(

@@ -2,14 +2,25 @@
 
 from daygraph.oracle.base import big, r6, sql
 from daygraph.oracle.verify import VERIFY
-from daygraph.operators.prepare import STEPS
+from daygraph.operators.prepare import ROUNDS
 
 
 def hexnum(digest: str, start: int, n: int) -> str:
     return f"CAST('0x' || substr({digest}, {start}, {n}) AS BIGINT)"
 
 
-STEP_LIST = "[" + ", ".join(str(s) for s in STEPS) + "]"
+
+def permuted(table: str, key: str, draws: str) -> str:
+    """Rows of ``table`` (with ``total``) times ``draw`` and ``number``: the keyed order of the numbers below ``total``."""
+    out = f"""SELECT *, draw // pr AS l, draw % pr AS r FROM (SELECT *, unnest(range(least(pl * pr, CAST(ceil(x + 12 * sqrt(x)) AS BIGINT) + 64))) AS draw FROM (
+        SELECT *, ({draws}) * CAST(pl * pr AS DOUBLE) / total AS x FROM (SELECT *, 1::BIGINT << (length(bin(total - 1)) // 2) AS pl, 1::BIGINT << (length(bin(total - 1)) - length(bin(total - 1)) // 2) AS pr
+        FROM {table} WHERE ({draws}) > 0)))"""
+    for k in range(ROUNDS):
+        to, by, size = ("l", "r", "pl") if k % 2 == 0 else ("r", "l", "pr")
+        out = f"SELECT * REPLACE (({to} + {hexnum(f"md5('42:' || {key} || ':{k}:' || {by})", 1, 8)}) % {size} AS {to}) FROM ({out})"
+    return f"SELECT *, l * pr + r AS number FROM ({out}) WHERE l * pr + r < total"
+
+
 SHARE = lambda a, b: f"len(list_intersect(string_split({a}, '__'), string_split({b}, '__'))) > 0"
 
 PREP = {
@@ -25,14 +36,14 @@ PREP = {
     "posp": """SELECT DISTINCT e.sample_id, least(e.source_pos, e.target_pos) AS lo, greatest(e.source_pos, e.target_pos) AS hi, least(e.source_node_id, e.target_node_id) AS node_a,
         greatest(e.source_node_id, e.target_node_id) AS node_b, least(e.src_type, e.dst_type) || '__' || greatest(e.src_type, e.dst_type) AS type_pair, k.split, k.language
         FROM real_edges e JOIN ks k ON k.sample_id = e.sample_id WHERE e.source_node_id <> e.target_node_id""",
-    "rplan": f"""SELECT *, CASE WHEN want > 0 THEN want + p ELSE 0 END AS draws, {STEP_LIST}[{hexnum('h', 9, 2)} % {len(STEPS)} + 1] AS step, {hexnum('h', 1, 8)} % total AS start FROM (
-        SELECT *, least(total - p, CAST(round_even(p * 1.0::DOUBLE, 0) AS BIGINT)) AS want, md5('42:' || sample_id) AS h FROM (
+    "rplan": """SELECT *, CASE WHEN want > 0 THEN want + p ELSE 0 END AS draws FROM (
+        SELECT *, least(total - p, CAST(round_even(p * 1.0::DOUBLE, 0) AS BIGINT)) AS want FROM (
         SELECT k.sample_id, k.n_nodes * (k.n_nodes - 1) // 2 AS total, c.p, k.split, k.language FROM ks k JOIN (SELECT sample_id, count(*) AS p FROM posp GROUP BY 1) c ON c.sample_id = k.sample_id))""",
-    "rdraw": "SELECT *, (draw * step + start) % total AS i FROM (SELECT *, unnest(range(draws)) AS draw FROM rplan)",
+    "rdraw": permuted("rplan", "sample_id", "draws"),
     "rneg": """SELECT * FROM (SELECT d.sample_id, d.split, d.language, d.want, least(a.node_id, b.node_id) AS node_a, greatest(a.node_id, b.node_id) AS node_b,
         least(a.type, b.type) || '__' || greatest(a.type, b.type) AS type_pair, row_number() OVER (PARTITION BY d.sample_id ORDER BY d.draw) AS r
         FROM rdraw d JOIN (SELECT a.sample_id, a.pos AS lo, b.pos AS hi, (b.pos - 1) * (b.pos - 2) // 2 + a.pos - 1 AS i FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.pos < b.pos) u
-          ON u.sample_id = d.sample_id AND u.i = d.i
+          ON u.sample_id = d.sample_id AND u.i = d.number
         JOIN nodes a ON a.sample_id = d.sample_id AND a.pos = u.lo JOIN nodes b ON b.sample_id = d.sample_id AND b.pos = u.hi
         LEFT JOIN posp p ON p.sample_id = d.sample_id AND p.lo = u.lo AND p.hi = u.hi WHERE p.sample_id IS NULL) WHERE r <= want""",
     "rex": """SELECT sample_id || '__' || node_a || '__' || node_b AS example_id, * FROM (SELECT sample_id, node_a, node_b, type_pair, split, language, TRUE AS connected FROM posp
@@ -55,8 +66,7 @@ HARD = {
           FROM (SELECT f.*, s.need, {SHARE('f.type_pair', 's.short_pair')} AS near FROM fill f JOIN short s ON s.split = f.split AND s.i = f.step + 1))""",
     "hplan": """SELECT b.*, f.stand_in, b.own + f.stand_in AS take FROM base b JOIN fill f ON f.split = b.split AND f.type_pair = b.type_pair
         AND f.step = (SELECT count(*) FROM short s WHERE s.split = b.split)""",
-    "hdraw": f"""SELECT *, CAST((CAST(draw AS HUGEINT) * {STEP_LIST}[{hexnum('h', 9, 2)} % {len(STEPS)} + 1] + {hexnum('h', 1, 8)} % total) % total AS BIGINT) AS number FROM (
-        SELECT *, md5('42:' || split || ':' || type_pair) AS h, unnest(range(take + n_pos)) AS draw FROM hplan WHERE take > 0)""",
+    "hdraw": permuted("(SELECT * FROM hplan WHERE take > 0)", "split || ':' || type_pair", "take + n_pos"),
     "trank": "SELECT sample_id, type, pos, node_id, row_number() OVER (PARTITION BY sample_id, type ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY sample_id, type) AS n FROM kn",
     "units": """SELECT a.sample_id, least(a.type, b.type) || '__' || greatest(a.type, b.type) AS type_pair, least(a.pos, b.pos) AS lo, greatest(a.pos, b.pos) AS hi, least(a.node_id, b.node_id) AS node_a,
         greatest(a.node_id, b.node_id) AS node_b, CASE WHEN a.type = b.type THEN b.r * (b.r - 1) // 2 + a.r ELSE a.r * b.n + b.r END AS local
