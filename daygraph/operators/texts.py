@@ -9,30 +9,33 @@ from daygraph import constants as C
 from daygraph.functions import text as X
 from daygraph.functions.columns import count_if, ratio, rows
 
-INLINE_LEXICON = 2000
+#: Longest start of a label that positions of a text are joined on.
+HEAD = 4
+#: Characters of a text that are gone through together.
+PIECE = 1024
 
 
-def lexicon_match(texts: DataFrame, lexicon: DataFrame, inline_limit: int = INLINE_LEXICON) -> DataFrame:
+def lexicon_match(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``sample_id, concept_id`` where the lower-case label occurs in the lower-case text.
 
-    The lexicon's size is checked first. A small one is applied inside the row;
-    a larger one is joined on the first letters of each label found at every
-    position of the text, then compared in full.
+    Labels fall into classes by length (1, 2, 3, and 4 or more letters), each with its start of that many
+    letters as join key, so a short label makes no other label's key shorter. A text gives the starts at
+    all of its positions for the classes there are; where one meets, the label is compared in full. An empty label is in every text.
     """
     surface = lexicon.select("concept_id", F.lower("label").alias("surface"))
-    size = surface.limit(inline_limit + 1).count()
-    if size <= inline_limit:
-        words = surface.agg(F.collect_list(F.struct("concept_id", "surface"))).scalar()
-        low = texts.select("sample_id", F.lower("text").alias("low"), words.alias("words"))
-        hits = F.filter("words", lambda w: F.contains(F.col("low"), w["surface"]))
-        return low.select("sample_id", F.explode(hits).alias("w")).select("sample_id", "w.concept_id")
-    width = surface.agg(F.min(F.length("surface"))).first()[0]
-    low = texts.select("sample_id", F.lower("text").alias("low"))
-    spots = low.where(F.length("low") >= width).select("sample_id", "low", F.explode(F.sequence(F.lit(1), F.length("low") - width + 1)).alias("at"))
-    heads = spots.select("sample_id", F.substring(F.col("low"), F.col("at"), F.lit(width)).alias("head"), "at").groupBy("sample_id", "head").agg(rows().alias("n"))
-    named = surface.withColumn("head", F.substring("surface", 1, width))
-    maybe = heads.join(named, "head").select("sample_id", "concept_id", "surface")
-    return maybe.join(low, "sample_id").where(F.contains("low", "surface")).select("sample_id", "concept_id")
+    named = surface.where("surface <> ''").withColumn("class", F.least(F.length("surface"), F.lit(HEAD))).withColumn(
+        "head", F.expr("substring(surface, 1, class)"))
+    longest = surface.agg(F.coalesce(F.max(F.length("surface")), F.lit(0))).scalar()
+    low = texts.select("sample_id", F.lower("text").alias("low")).where("low <> ''")
+    pieces = low.select("sample_id", "low", F.explode(F.sequence(F.lit(0), F.floor((F.length("low") - 1) / PIECE).cast("int"))).alias("piece"), longest.alias("longest")).select(
+        "sample_id", "longest", F.expr(f"substring(low, piece * {PIECE} + 1, {PIECE} + longest)").alias("part"))  # long texts are not walked from their start for every position
+    spots = pieces.select("sample_id", "part", "longest", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(PIECE)))).alias("at")).select(
+        "sample_id", F.expr("substring(part, at, longest)").alias("tail"))
+    classes = F.broadcast(named.select("class").distinct())  # at most HEAD rows
+    heads = spots.join(classes, F.col("class") <= F.length("tail")).withColumn("head", F.expr("substring(tail, 1, class)"))
+    found = heads.join(named, ["class", "head"]).where(F.startswith("tail", "surface"))
+    empty = texts.where("text IS NOT NULL").select("sample_id").join(surface.where("surface = ''").select("concept_id"))
+    return found.select("sample_id", "concept_id").distinct().unionByName(empty.distinct())
 
 
 def style_length_stats(texts: DataFrame) -> DataFrame:

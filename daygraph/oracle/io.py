@@ -23,7 +23,7 @@ ORACLE = {
     "scan_relation_map": s("SELECT src_type, dst_type, relation, n FROM majority"),
     "scan_notes": s("SELECT sample_id, md5(raw) AS digest FROM notes"),
     "sink_examples_by_split": s(f"SELECT split, count(*) AS n, {big('count(*) FILTER (connected)')} AS positives FROM rex GROUP BY 1"),
-    "sink_sorted_rewrite": s("SELECT participant_id, day_index, sample_id FROM samples"),
+    "sink_sorted_rewrite": s("SELECT participant_id, day_index, sample_id, row_number() OVER (ORDER BY participant_id, day_index) - 1 AS place FROM samples"),
     "sink_append": s("SELECT CAST(day_index % 2 AS INTEGER) AS batch, decision, count(*) AS n FROM recs GROUP BY 1, 2"),
     "sink_csv_table": s(f"""SELECT type_pair, count(*) AS n, {big('count(*) FILTER (connected)')} AS n_connected, printf('%.4f', round_even(count(*) FILTER (connected)::DOUBLE / count(*), 4)) AS p_connected FROM rex GROUP BY 1"""),
     "sink_json_summary": s("SELECT '{' || string_agg('\"' || concept_id || '\":' || train_support, ',' ORDER BY concept_id) || '}' AS document FROM idx"),

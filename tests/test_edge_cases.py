@@ -13,6 +13,7 @@ from daygraph.operators import graph as G
 from daygraph.operators import journal as J
 from daygraph.operators import prepare as P
 from daygraph.operators import texts as TX
+from daygraph.sources import files as S
 from daygraph.operators import verify as V
 from daygraph.sources.day_graphs import DayGraphs
 
@@ -274,11 +275,35 @@ def test_front_block(spark):
     assert tuple(got[0]) == (0.0, "Body") and tuple(got[1]) == (None, "no block")
 
 
-def test_large_lexicon_equals_small_one(spark):
-    texts = spark.createDataFrame([("a", "The Sleep Loss and noise"), ("b", "sleeploss"), ("c", "x")], "sample_id string, text string")
-    lexicon = spark.createDataFrame([("1", "sleep loss"), ("2", "loss"), ("3", "noise"), ("4", "zzz")], "concept_id string, label string")
-    small = sorted(map(tuple, TX.lexicon_match(texts, lexicon).collect()))
-    assert small == sorted(map(tuple, TX.lexicon_match(texts, lexicon, inline_limit=1).collect())) == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "2")]
+def test_lexicon_of_all_lengths(spark):
+    long = "ab" * 2000 + "needle in a long text" + "é" * 3000 + "tail"
+    rows = [("a", "The Sleep Loss and noise"), ("b", "sleeploss"), ("c", "x"), ("d", ""), ("e", None), ("f", long)]
+    words = {"1": "sleep loss", "2": "loss", "3": "noise", "4": "zzz", "5": "x", "6": "No", "7": "and", "8": "needle in a long text", "9": "éta", "10": ""}
+    texts = spark.createDataFrame(rows, "sample_id string, text string")
+    lexicon = spark.createDataFrame(list(words.items()), "concept_id string, label string")
+    want = {(s, c) for s, t in rows if t is not None for c, w in words.items() if w.lower() in t.lower()}
+    got = [tuple(r) for r in TX.lexicon_match(texts, lexicon).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lexicon_of_many_labels(spark):
+    texts = spark.createDataFrame([(f"s{i}", f"this is label {i * 37:06d} here") for i in range(200)], "sample_id string, text string")
+    lexicon = spark.range(100_000).selectExpr("cast(id as string) AS concept_id", "concat('label ', lpad(cast(id as string), 6, '0')) AS label")
+    got = {(r.sample_id, r.concept_id) for r in TX.lexicon_match(texts, lexicon).collect()}
+    assert got == {(f"s{i}", str(i * 37)) for i in range(200)}
+
+
+def test_rewrite_is_published_by_one_rename(spark, tmp_path):
+    path, order, schema = str(tmp_path / "set"), ["k"], "k long, v string"
+    S.write_sorted(spark.createDataFrame([(i * 7 % 100, "old") for i in range(100)], schema), path, order)
+    old = S.current_version(spark, path)
+    broken = spark.range(50).select(F.col("id").alias("k"), F.when(F.col("id") == 33, F.raise_error(F.lit("killed"))).otherwise(F.lit("new")).alias("v"))
+    with pytest.raises(Exception, match="killed"):
+        S.write_sorted(broken, path, order)
+    back = S.read_sorted(spark, path, schema, order)
+    assert S.current_version(spark, path) == old and sorted((r.place, r.k, r.v) for r in back.collect()) == [(i, i, "old") for i in range(100)]
+    S.write_sorted(spark.range(10).selectExpr("9 - id AS k", "'new' AS v"), path, order)
+    assert sorted((r.place, r.k, r.v) for r in S.read_sorted(spark, path, schema, order).collect()) == [(i, i, "new") for i in range(10)]
 
 
 def test_split_ratios_must_sum_to_one(spark):
