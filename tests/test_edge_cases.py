@@ -282,8 +282,9 @@ def test_lexicon_of_all_lengths(spark):
     texts = spark.createDataFrame(rows, "sample_id string, text string")
     lexicon = spark.createDataFrame(list(words.items()), "concept_id string, label string")
     want = {(s, c) for s, t in rows if t is not None for c, w in words.items() if w.lower() in t.lower()}
-    got = [tuple(r) for r in TX.lexicon_match(texts, lexicon).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for limit in (0, 100):
+        got = [tuple(r) for r in TX.lexicon_match(texts, lexicon, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_lexicon_of_many_labels(spark):
