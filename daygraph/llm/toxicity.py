@@ -7,16 +7,17 @@ of entries that begin at one word the longest counts. Entries inside an exceptio
 phrase do not count. The summed weights, divided by a power of the text's length,
 become a score between 0 and 1.
 
-Everything is learned from labelled rows with ``crc32(id) mod 5 <> 0``, at most about
-``TRAIN_ROWS`` of them, chosen by a hash of the id:
+Everything is learned from labelled rows with ``crc32(id) mod 5 <> 0``, at most
+``TRAIN_ROWS`` of them, the first by a hash of the id; an id teaches one text, its smallest:
 
 * candidates: terms in at least ``MIN_SUPPORT`` toxic texts whose smoothed log-odds, less
   1.64 standard errors, are above 0;
 * exceptions: a candidate with the word before or after it, where such pairs are at least
-  ``MIN_SUPPORT`` times in clean texts and no likelier in toxic ones than elsewhere;
-* entries: candidates whose odds outside their exceptions, less 1.64 standard errors, reach
-  ``MIN_ODDS``; counted per task, then summed by term in a shuffle; the ``ENTRIES``
-  strongest are kept, with all their exceptions;
+  ``MIN_SUPPORT`` times in clean texts and no likelier in toxic ones than elsewhere. A first pass
+  counts clean texts in a sketch of ``CELLS`` cells by the phrase's hash. A cell never counts less than
+  any of its phrases, so only phrases of cells that reach the support are counted exactly;
+* entries: all candidates whose odds outside their exceptions, less 1.64 standard errors, reach
+  ``MIN_ODDS``; counted per task, then summed by term in a shuffle;
 * the power of the length and the logistic curve, by likelihood.
 
 Labels, language, source and id are never part of a score.
@@ -31,23 +32,29 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygraph.session import written
 
 TRAIN_ROWS = 200_000
-MIN_SUPPORT, MIN_ODDS, ENTRIES = 5, 2.0, 5000
+MIN_SUPPORT, MIN_ODDS = 5, 2.0
 #: Lengths of word beginnings that may be entries.
 STEMS = (4, 5, 6)
 #: Distinct terms a task holds before it passes its counts on.
 HELD_TERMS = 500_000
+#: Cells of the phrase sketch, a byte each, and those of one block of it.
+CELLS, SKETCH_BLOCK = 1 << 26, 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 POWERS = (0.0, 0.25, 0.5, 1.0)
 
 #: Letters of other scripts and what they look like, digits and signs written for letters.
@@ -73,13 +80,91 @@ def terms(folded: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
-def uses(folded: str, entries: frozenset[str]) -> Iterator[tuple[str, list[str]]]:
-    """Every use of an entry, also where a longer one begins at the word, with its phrases."""
-    words = folded.split()
-    for i, w in enumerate(words):
-        for entry in (f" {w} ", *[f" {w[:k]}" for k in STEMS if len(w) > k]):
-            if entry in entries:
-                yield entry, [f"{words[i - 1]}|{entry}|"] * (i > 0) + [f"|{entry}|{x}" for x in words[i + 1 : i + 2]]
+class Uses:
+    """Every use of the given entries in texts, also where a longer one begins at the word."""
+
+    def __init__(self, entries: frozenset[str]):
+        self.entries, self.known = entries, {}
+
+    def of(self, word: str) -> tuple[int, list[str], list[int]]:
+        """Hash of the word, the entries that it uses, and their hashes."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= HELD_TERMS:
+                self.known.clear()
+            names = [e for e in (f" {word} ", *[f" {word[:k]}" for k in STEMS if len(word) > k]) if e in self.entries]
+            found = self.known[word] = xxhash.xxh64_intdigest(word), names, [xxhash.xxh64_intdigest(e) for e in names]
+        return found
+
+    def outside(self, folded: str, exceptions: frozenset[str]) -> set[str]:
+        """Entries with a use that is in no exception phrase."""
+        words, found = folded.split(), set()
+        for i, word in enumerate(words):
+            for entry in self.of(word)[1]:
+                if entry not in found and not (
+                    i and f"{words[i - 1]}|{entry}|" in exceptions or i + 1 < len(words) and f"|{entry}|{words[i + 1]}" in exceptions):
+                    found.add(entry)
+        return found
+
+    def _phrases(self, words: list[str]):
+        """Entries used, then per side (word before, word after) the places among them, the other word's place and the cells."""
+        met = [self.of(w) for w in words]
+        at = np.repeat(np.arange(len(met)), [len(m[1]) for m in met])
+        entry, word = np.array([h for m in met for h in m[2]], np.uint64), np.array([m[0] for m in met], np.uint64)
+        sides = []
+        for step in (-1, 1):
+            use = np.flatnonzero((at + step >= 0) & (at + step < len(met)))
+            other = at[use] + step
+            first, second = (word[other], entry[use]) if step < 0 else (entry[use], word[other])
+            mixed = ((first ^ (first >> np.uint64(29))) * _ODD + second) * _ODD
+            sides.append((use, other, (mixed >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)))
+        return [n for m in met for n in m[1]], sides
+
+    def cells(self, folded: str) -> np.ndarray:
+        """Distinct cells of a text's phrases."""
+        words = folded.split()
+        return np.unique(np.concatenate([cell for _, _, cell in self._phrases(words)[1]])) if words else np.zeros(0, np.int64)
+
+    def frequent(self, folded: str, bits: np.ndarray) -> set[str]:
+        """Distinct phrases whose cells are marked."""
+        words = folded.split()
+        if not words:
+            return set()
+        names, sides = self._phrases(words)
+        found = set()
+        for left, (use, other, cell) in zip((True, False), sides, strict=True):
+            marked = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+            for u, o in zip(use[marked].tolist(), other[marked].tolist(), strict=True):
+                found.add(f"{words[o]}|{names[u]}|" if left else f"|{names[u]}|{words[o]}")
+        return found
+
+
+def _supported_cells(train: DataFrame, wide) -> np.ndarray:
+    """Bits of the cells that reach the support in clean texts. The result has ``CELLS / 8`` bytes whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, sketch = Uses(wide.value), np.zeros(CELLS, np.uint8)
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                if not toxic:
+                    cells = uses.cells(fold(text.as_py() or ""))
+                    sketch[cells] = np.minimum(sketch[cells], MIN_SUPPORT - 1) + 1
+        for block in range(CELLS // SKETCH_BLOCK):
+            part = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    def add(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SKETCH_BLOCK, np.uint8)
+        for counts in parts["counts"]:
+            total = np.minimum(total + np.frombuffer(zlib.decompress(counts), np.uint8), MIN_SUPPORT)
+        return pd.DataFrame({"block": parts["block"].iloc[:1], "bits": [np.packbits(total >= MIN_SUPPORT).tobytes()]})
+
+    bits = np.zeros(CELLS // 8, np.uint8)
+    width = SKETCH_BLOCK // 8
+    for row in train.mapInArrow(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, bits binary").collect():
+        bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return bits
 
 
 class Lexicon:
@@ -150,20 +235,43 @@ def _counted(terms_of):
     return run
 
 
+class Phrases:
+    """Phrases of a text in supported cells."""
+
+    def __init__(self, entries, bits):
+        self.entries, self.bits, self.uses = entries, bits, None
+
+    def __call__(self, folded: str) -> set[str]:
+        self.uses = self.uses or Uses(self.entries.value)
+        return self.uses.frequent(folded, self.bits.value)
+
+
+class Outside:
+    """Entries of a text outside their exceptions."""
+
+    def __init__(self, known):
+        self.known, self.uses = known, None
+
+    def __call__(self, folded: str) -> set[str]:
+        self.uses = self.uses or Uses(self.known.value[0])
+        return self.uses.outside(folded, self.known.value[1])
+
+
 def _term_counts(train: DataFrame, terms_of) -> DataFrame:
     return train.mapInArrow(_counted(terms_of), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: int = TRAIN_ROWS) -> DataFrame:
-    """Texts with labels outside the held-out fifth. The labels are cut to ``limit`` rows by hash, then joined by broadcast."""
+    """At most ``limit`` texts with labels outside the held-out fifth. The labels are cut by hash, then joined by broadcast."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy(
         F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    known = written(known, "labels")
-    n = known.count()
-    if n > limit:
-        known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int((1 << 20) * limit / n)).limit(limit)
-    return written(docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text")).join(F.broadcast(known), "label_id").select(
-        "text", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    known = F.broadcast(written(known.orderBy(F.xxhash64("label_id"), "label_id").limit(limit), "labels"))
+    rows = docs.select(F.col(doc_id).alias("label_id"), F.col(text).alias("text"))
+    repeated = written(rows.join(known, "label_id", "left_semi").groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label_id"), "repeated")
+    once = rows.join(F.broadcast(repeated), "label_id", "left_anti")
+    smallest = rows.join(F.broadcast(repeated), "label_id", "left_semi").groupBy("label_id").agg(F.min("text").alias("text"))
+    both = [x.join(known, "label_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")) for x in (once, smallest)]
+    return written(both[0].unionByName(both[1]), "labelled")
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -193,7 +301,8 @@ def learn(train: DataFrame) -> Lexicon:
     candidates = written(_term_counts(train, terms).where(supported & (likelier > 0)), "candidates")
     share = train.sparkSession.sparkContext.broadcast
     wide = share(frozenset(r["term"] for r in candidates.select("term").collect()))
-    pairs = _term_counts(train, lambda folded: {p for _, phrases in uses(folded, wide.value) for p in phrases})
+    bits = share(_supported_cells(train, wide))
+    pairs = _term_counts(train, Phrases(wide, bits))
     harmless = written(pairs.where((F.col("clean") >= MIN_SUPPORT) & (odds <= 0)).select(
         F.col("term").alias("phrase"), F.col("clean").alias("spared"), F.split("term", r"\|")[1].alias("term")), "harmless")
     # No recount gives a candidate fewer clean texts than these; the others need none.
@@ -203,9 +312,8 @@ def learn(train: DataFrame) -> Lexicon:
     hopeful = written(hopeful, "hopeful")
     names = frozenset(r["term"] for r in hopeful.collect())
     exceptions = frozenset(r["phrase"] for r in harmless.join(hopeful, "term", "left_semi").select("phrase").collect())
-    known = share((names, exceptions))
-    outside = _term_counts(train, lambda folded: {e for e, phrases in uses(folded, known.value[0]) if known.value[1].isdisjoint(phrases)})
-    rows = outside.where(supported & (likelier >= MIN_ODDS)).withColumn("odds", odds).orderBy(F.desc(likelier), "term").limit(ENTRIES).collect()
+    outside = _term_counts(train, Outside(share((names, exceptions))))
+    rows = outside.where(supported & (likelier >= MIN_ODDS)).withColumn("odds", odds).collect()  # at most as many as the training rows allow
     lexicon = Lexicon({r["term"]: float(r["odds"]) for r in rows})
     lexicon.exceptions = frozenset(x for x in exceptions if x.split("|")[1] in lexicon.weights)
 

@@ -2,9 +2,11 @@
 
 import collections
 import io
+import math
 import random
 import re
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -438,3 +440,70 @@ def test_pipeline(spark):
             assert kept[-1] == kept[-2] and not any(pii.find_spans(r.text) for r in after.collect())
         before = after
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept[-1] and all(b <= a for a, b in zip(kept, kept[1:], strict=False))
+
+
+def brute_lexicon(rows):
+    """Entries with their odds, and exceptions, counted text by text."""
+    texts = [(toxicity.fold(t).split(), y) for t, y in rows]
+    size = collections.Counter(y for _, y in texts)
+    forms = lambda w: [f" {w} ", *[f" {w[:k]}" for k in toxicity.STEMS if len(w) > k]]
+
+    def odds(count):
+        return math.log((count[1] + 0.5) / (size[1] + 1)) - math.log((count[0] + 0.5) / (size[0] + 1))
+
+    def sure(count):
+        return odds(count) - 1.64 * math.sqrt(1 / (count[1] + 0.5) + 1 / (count[0] + 0.5))
+
+    def counted(of):
+        counts = collections.defaultdict(collections.Counter)
+        for words, y in texts:
+            for x in {x for i in range(len(words)) for x in of(words, i)}:
+                counts[x][y] += 1
+        return counts
+
+    def phrases(words, i, e):
+        return [f"{words[i - 1]}|{e}|"] * (i > 0) + [f"|{e}|{x}" for x in words[i + 1 : i + 2]]
+
+    wide = {e for e, c in counted(lambda ws, i: forms(ws[i])).items() if c[1] >= toxicity.MIN_SUPPORT and sure(c) > 0}
+    met = counted(lambda ws, i: [p for e in forms(ws[i]) if e in wide for p in phrases(ws, i, e)])
+    harmless = {p for p, c in met.items() if c[0] >= toxicity.MIN_SUPPORT and odds(c) <= 0}
+    outside = counted(lambda ws, i: [e for e in forms(ws[i]) if e in wide and harmless.isdisjoint(phrases(ws, i, e))])
+    weights = {e: odds(c) for e, c in outside.items() if c[1] >= toxicity.MIN_SUPPORT and sure(c) >= toxicity.MIN_ODDS}
+    return weights, {p for p in harmless if p.split("|")[1] in weights}
+
+
+def test_learned_lexicon_equals_counts_by_hand(spark):
+    rng = random.Random(5)
+    plain = [f"word{i}" for i in range(40)] + ["assassin", "cheese", "the"]
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = rng.choices(plain, k=rng.randrange(0, 25))
+        if toxic:
+            words += rng.choices(["grumbo", "grumbos", "Snarfl3", "blarg"], k=3) + ["you"]
+        elif i % 3 == 0:
+            words += ["grumbo", "cheese"]
+        rows.append((" ".join(words), toxic))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int").repartition(5))
+    weights, exceptions = brute_lexicon(rows)
+    assert lexicon.weights == pytest.approx(weights) and " grumbo " in weights
+    assert lexicon.exceptions == exceptions and "| grumbo |cheese" in exceptions
+
+
+def test_training_rows_are_bounded_and_repeat(spark):
+    docs = spark.createDataFrame([(7, f"text {i}", "x") for i in range(1000)] + [(i, "b", "x") for i in range(100, 160)] + [(None, "n", "x"), (8, None, "x")],
+                                 "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(5, 12), *range(100, 160)]] * 2 + [(7, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels, "doc_id", "text").collect()
+    assert sum((r.text or "").startswith("text") for r in every) == int(zlib.crc32(b"7") % 5 != 0)
+    few = [sorted(map(tuple, toxicity.training_rows(docs.repartition(n), labels, "doc_id", "text", 20).collect()), key=str) for n in (1, 6)]
+    assert few[0] == few[1] and 0 < len(few[0]) <= 20
+
+
+def test_toxicity_of_empty_tables_and_other_columns(spark):
+    lexicon = toxicity.Lexicon({" grumbo ": 3.0}, power=0.0, slope=2.0, start=-1.0)
+    empty = spark.createDataFrame([], "doc_id long, text string, score string, toxic int")
+    assert toxicity.score(empty, lexicon).count() == 0
+    assert toxicity.learn(toxicity.training_rows(empty, spark.createDataFrame([], "doc_id long, toxic int"), "doc_id", "text")).weights == {}
+    rows = toxicity.score(spark.createDataFrame([(1, "grumbo " * 3 + "x" * 100_000, "s", 5)], empty.schema), lexicon).collect()
+    assert rows[0].score > 0.9
