@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daygraph.session import written
+
 HOT_ROWS = 1_000_000
 
 
@@ -42,6 +44,19 @@ def grouped_row_number(
     ).drop("_bucket", "_part", "_offset")
 
 
+def range_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Exact row number (from 0) over the whole table: ranges in order, their counts, and places inside.
+
+    ``order`` must be unique, or equal rows take any order. The ranges are written once, so counts and
+    places are of the same rows; the only window without a key runs on one row per range.
+    """
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(starts, "_range").withColumn(out, (F.col("_start") + inside - 1).cast("long")).drop("_range", "_start")
+
+
 def hash_order(seed: int, *cols: str) -> Column:
     """Portable seeded shuffle key."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))

@@ -12,6 +12,7 @@ from daygraph.functions.ranking import (
     bucketed_prefix_sum,
     expand_counts,
     grouped_row_number,
+    range_rank,
     hash_bucket,
     hash_order,
 )
@@ -55,8 +56,7 @@ def node_examples(samples: DataFrame, nodes: DataFrame, texts: DataFrame) -> Dat
 def label_index(train_labels: DataFrame, common_min: int = C.COMMON_LABEL_MIN) -> DataFrame:
     """Support and dense name-ordered index of the train labels."""
     support = train_labels.groupBy("concept_id").agg(rows().alias("train_support"))
-    return support.withColumn("idx", (F.row_number().over(Window.orderBy("concept_id")) - 1).cast("long")).withColumn(
-        "is_common", F.col("train_support") >= common_min)
+    return range_rank(support, ["concept_id"], "idx").withColumn("is_common", F.col("train_support") >= common_min)
 
 
 def unseen_labels(labels: DataFrame, index: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ ORACLE = {
     "sink_sorted_rewrite": s("SELECT participant_id, day_index, sample_id, row_number() OVER (ORDER BY participant_id, day_index) - 1 AS place FROM samples"),
     "sink_append": s("SELECT CAST(day_index % 2 AS INTEGER) AS batch, decision, count(*) AS n FROM recs GROUP BY 1, 2"),
     "sink_csv_table": s(f"""SELECT type_pair, count(*) AS n, {big('count(*) FILTER (connected)')} AS n_connected, printf('%.4f', round_even(count(*) FILTER (connected)::DOUBLE / count(*), 4)) AS p_connected FROM rex GROUP BY 1"""),
-    "sink_json_summary": s("SELECT '{' || string_agg('\"' || concept_id || '\":' || train_support, ',' ORDER BY concept_id) || '}' AS document FROM idx"),
+    "sink_json_summary": s("""SELECT CASE WHEN row_number() OVER (ORDER BY concept_id) = 1 THEN '{' ELSE '' END || '"' || concept_id || '":' || train_support
+        || CASE WHEN row_number() OVER (ORDER BY concept_id DESC) = 1 THEN '}' ELSE ',' END AS line FROM idx"""),
     "lookup_participant_day": s("SELECT sample_id, scenario, n_nodes FROM samples WHERE participant_id = 'p00003' AND day_index = 2"),
     "lookup_line_index": s("SELECT sample_id, participant_id, day_index FROM (SELECT *, row_number() OVER (ORDER BY participant_id, day_index) AS n FROM samples) WHERE n = 101"),
     "inspect_card": s(f"""SELECT sample_id, CAST(1 AS BIGINT) AS section, pos AS ord, '[' || node_id || '] ' || label || ' (' || type || ', ' || polarity || ', ' || anchor || ')' AS line FROM nodes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daygraph.functions.columns import count_if, r6, rows
-from daygraph.functions.ranking import grouped_row_number
+from daygraph.functions.ranking import range_rank
 from daygraph.operators import extract as X
 from daygraph.operators import graph as G
 from daygraph.operators import prepare as P
@@ -43,9 +43,10 @@ def scan_torn_tail(spark, sf_dir):
 def scan_concepts(spark, sf_dir):
     t = DayGraphs(spark, sf_dir)
     path = fresh_path(spark, "pool")
-    pool = t.concepts().agg(F.sort_array(F.collect_list(F.struct("concept_id", "type", "label", "polarity"))).alias("node_concepts"))
-    pool.write.json(path)
-    return S.read_concepts(spark, path)
+    part = F.substring(F.md5("concept_id"), 1, 3)
+    pool = t.concepts().groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("concept_id", "type", "label", "polarity"))).alias("node_concepts"))
+    pool.select("node_concepts").write.json(path)
+    return S.read_concepts(spark, path, multi_line=False)
 
 
 def scan_split_map(spark, sf_dir):
@@ -110,8 +111,8 @@ def sink_csv_table(spark, sf_dir):
 
 def sink_json_summary(spark, sf_dir):
     path = fresh_path(spark, "labels")
-    S.json_summary(index(DayGraphs(spark, sf_dir)), "concept_id", "train_support").write.text(path)
-    return spark.read.text(path).select(F.col("value").alias("document"))
+    S.write_json_summary(index(DayGraphs(spark, sf_dir)), path, "concept_id", "train_support")
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def lookup_participant_day(spark, sf_dir):
@@ -120,10 +121,8 @@ def lookup_participant_day(spark, sf_dir):
 
 def lookup_line_index(spark, sf_dir):
     """The 100th record (zero-based) in participant and day order."""
-    s = DayGraphs(spark, sf_dir).samples().withColumn("_all", F.lit(1))
-    bucket = F.expr("substring(participant_id, 1, length(participant_id) - 2)")
-    placed = grouped_row_number(s, ["_all"], ["participant_id", "day_index"], bucket, "n")
-    return placed.where("n = 101").select("sample_id", "participant_id", "day_index")
+    placed = range_rank(DayGraphs(spark, sf_dir).samples().select("sample_id", "participant_id", "day_index"), ["participant_id", "day_index"], "place")
+    return placed.where("place = 100").select("sample_id", "participant_id", "day_index")
 
 
 def inspect_card(spark, sf_dir):

@@ -35,7 +35,7 @@ def labels(t):
 
 
 def index(t):
-    return P.label_index(labels(t).where("split = 'train'").select("sample_id", "concept_id"))
+    return t.stored("label_index", lambda: P.label_index(labels(t).where("split = 'train'").select("sample_id", "concept_id")))
 
 
 def random_examples(t):

@@ -65,25 +65,32 @@ def finished_records(t):
 
 
 def stream_decision_rates(spark, sf_dir):
-    """Tumbling days and sliding two-day windows."""
+    """Tumbling days and sliding two-day windows, stopped and resumed. Before the second run records come that are far
+    behind the watermark: the stream leaves them out, and its progress counts them (``late_dropped``)."""
     records = finished_records(DayGraphs(spark, sf_dir))
-    path = feed(records, "finished", [w.replace("ts", "finished") for w in WEEKS])
+    newest = F.to_date(F.lit(records.agg(F.max("finished")).scalar()))
+    late = records.where(F.col("sample_id").like("%0\\_d%") & (F.to_date("finished") < F.date_sub(newest, 13)))
     out = None
     for kind, size, slide in (("tumbling", "1 day", None), ("sliding", "2 days", "1 day")):
+        path = feed(records, "finished", [w.replace("ts", "finished") for w in WEEKS])
         rates = ST.decision_rates(ST.source(spark, path, records.schema, 64), size, slide, "10 days")
-        table = ST.run_updates(rates, fresh_path(spark, "rates"), ["start", "end", "language"]).withColumn("kind", F.lit(kind))
+        place, dropped, keys = fresh_path(spark, "rates"), [], ["start", "end", "language"]
+        ST.run_updates(rates, place, keys)
+        late.write.mode("append").parquet(path)
+        table = ST.run_updates(rates, place, keys, dropped).withColumns({"kind": F.lit(kind), "late_dropped": F.lit(dropped[0] > 0)})
         out = table if out is None else out.unionByName(table)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.withColumns({"start": day("start"), "end": day("end")}).withColumnsRenamed({"start": "window_start", "end": "window_end"})
 
 
 def stream_day_diff(spark, sf_dir):
+    """Entries come out of order: the second week before the first."""
     t = DayGraphs(spark, sf_dir)
-    place = journal(spark, sf_dir).numbered.where("eligible").select("sample_id", "participant_id", "entry_no")
+    place = journal(spark, sf_dir).numbered.where("eligible").select("sample_id", "participant_id", "entry_no", "entry_date")
     sets = sample_labels(t.nodes()).groupBy("sample_id").agg(F.array_sort(F.collect_set("concept_id")).alias("concepts"))
     entries = place.join(sets, "sample_id")
-    path = feed(entries, "entries", ["entry_no <= 5", "entry_no BETWEEN 6 AND 10", "entry_no > 10"], "participant_id")
-    return ST.run_to_table(ST.day_diff(ST.source(spark, path, entries.schema, 4)), fresh_path(spark, "diffs"))
+    path = feed(entries, "entries", ["entry_no BETWEEN 6 AND 10", "entry_no <= 5", "entry_no > 10"], "participant_id")
+    return ST.run_day_diff(ST.source(spark, path, entries.schema, 4), fresh_path(spark, "diffs"))
 
 
 QUERIES = {f.__name__: f for f in [stream_ingest_score, stream_usage_totals, stream_latest_note, stream_decision_rates, stream_day_diff]}

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daygraph import constants as C
 from daygraph.functions.columns import count_if, rows
 from daygraph.operators.verify import decide, with_shares
 
-ENTRY_BLOCK = 1000
-
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 64, fmt: str = "parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
@@ -28,10 +23,10 @@ def run_to_table(stream: DataFrame, out: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_updates(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
+def run_updates(stream: DataFrame, out: str, keys: list[str], dropped: list[int] | None = None) -> DataFrame:
     """Keep the changed rows of every batch; the table is the latest row per key.
 
-    A batch that is replayed after a failure overwrites its own folder.
+    A batch that is replayed after a failure overwrites its own folder. ``dropped`` receives the number of rows behind the watermark.
     """
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
@@ -39,6 +34,18 @@ def run_updates(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
     query = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/checkpoint").outputMode(
         "update").trigger(availableNow=True).start()
     query.awaitTermination()
+    if dropped is not None:
+        dropped.append(dropped_late(query))
+    return latest_rows(stream, out, keys)
+
+
+def dropped_late(query) -> int:
+    """Rows (after partial counts) that a finished query left out since they came behind its watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+
+
+def latest_rows(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    """What ``run_updates`` has kept: the latest row per key."""
     values = [c for c in stream.columns if c not in keys]
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     written = stream.sparkSession.read.schema(schema).parquet(f"{out}/data")
@@ -78,40 +85,52 @@ def decision_rates(records: DataFrame, size: str, slide: str | None = None, dela
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), "language", "n", *[f"n_{d}" for d in C.DECISIONS])
 
 
-DIFF_SCHEMA = "participant_id string, sample_id string, entry_no long, first_day boolean, added long, recurring long, removed long"
+def run_day_diff(entries: DataFrame, out: str, keep: str = "INTERVAL 31 DAYS") -> DataFrame:
+    """Added, recurring and removed concepts against the participant's entry before, for entries in any order of arrival.
 
+    ``entries``: participant_id, sample_id, entry_no, entry_date, concepts (a set bounded by the vocabulary; null is empty).
+    Every batch joins its entries with the open ones of the batches before: those that still lack the entry before or the
+    one after, and are at most ``keep`` older than the newest entry date. An entry that comes late changes the row of its
+    successor, if that is still open. State is a table per batch; a replayed batch reads the state of the batch before it
+    and overwrites its own, so results are the same. The result is the latest row per sample; a row that
+    knows the entry before goes first, so one delivered again does not lose it. Entries without a participant or number have no neighbours.
+    """
+    schema = T.StructType([*(entries.schema[c] for c in DIFF_COLUMNS), T.StructField("newest", T.DateType())])
+    spark = entries.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(*DIFF_COLUMNS, F.lit(True).alias("fresh")).dropDuplicates(["participant_id", "entry_no", "sample_id"])
+        if number:
+            state = batch.sparkSession.read.schema(schema).parquet(f"{out}/state/batch={number - 1}")
+            again = fresh.select("participant_id", "entry_no", "sample_id")
+            fresh = fresh.withColumn("newest", F.lit(None).cast("date")).unionByName(
+                state.join(again, ["participant_id", "entry_no", "sample_id"], "left_anti").withColumn("fresh", F.lit(False)))
+        else:
+            fresh = fresh.withColumn("newest", F.lit(None).cast("date"))
+        place = f"{out}/known/batch={number}"
+        fresh.write.mode("overwrite").parquet(place)
+        known = batch.sparkSession.read.schema(fresh.schema).parquet(place)
+        before = known.select("participant_id", (F.col("entry_no") + 1).alias("entry_no"), F.col("concepts").alias("earlier"), F.col("fresh").alias("fresh_before"), F.lit(True).alias("has_before"))
+        after = known.select("participant_id", (F.col("entry_no") - 1).alias("entry_no"), F.lit(True).alias("has_after")).distinct()
+        met = known.join(before, ["participant_id", "entry_no"], "left").join(after, ["participant_id", "entry_no"], "left")
+        none = F.array().cast("array<string>")
+        now, earlier = F.coalesce("concepts", none), F.coalesce("earlier", none)
+        count = lambda found: F.when(F.col("has_before"), F.size(found)).otherwise(0).cast("long")
+        met.where("fresh OR fresh_before").select(
+            "participant_id", "sample_id", "entry_no", F.col("has_before").isNull().alias("first_day"), count(F.array_except(now, earlier)).alias("added"),
+            count(F.array_intersect(now, earlier)).alias("recurring"), count(F.array_except(earlier, now)).alias("removed"),
+        ).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        newest = known.agg(F.greatest(F.max("entry_date"), F.max("newest")).alias("newest"))
+        open_ = met.where("has_before IS NULL OR has_after IS NULL").drop("newest").crossJoin(F.broadcast(newest))  # one row
+        open_.where(F.expr(f"entry_date >= newest - {keep}")).select(*DIFF_COLUMNS, "newest").write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+
+    query = entries.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows_ = spark.read.schema(f"{DIFF_SCHEMA}, batch long").parquet(f"{out}/data")
+    values = ["entry_no", "first_day", "added", "recurring", "removed"]
+    best = F.max_by(F.struct(*values), F.struct(~F.col("first_day"), F.col("batch")))
+    return rows_.groupBy("participant_id", "sample_id").agg(best.alias("v")).select("participant_id", "sample_id", "v.*")
 
-def day_diff(entries: DataFrame) -> DataFrame:
-    """Added, recurring and removed concepts against the participant's entry before.
 
-    ``entries``: participant_id, sample_id, entry_no, concepts (a set bounded by the
-    vocabulary). State holds one concept set per (participant, block of 1000 entries);
-    the last entry of a block is also sent to the next one, so a long journal is
-    spread over many keys.
-    """
-    last = F.col("entry_no") % ENTRY_BLOCK == ENTRY_BLOCK - 1
-    block = F.floor(F.col("entry_no") / ENTRY_BLOCK)
-    keyed = entries.withColumn("home", block).withColumn("block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
-    return keyed.groupBy("participant_id", "block").applyInPandasWithState(
-        _differ(), DIFF_SCHEMA, "entry_no long, concepts array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def _differ() -> Callable:
-    def step(key, frames, state: GroupState):
-        import pandas as pd
-
-        frame = pd.concat(list(frames)).sort_values("entry_no")
-        before_no, before = state.get if state.exists else (None, None)
-        out = []
-        for row in frame.itertuples(index=False):
-            now = set(row.concepts)
-            known = before_no is not None and before_no == row.entry_no - 1
-            earlier = set(before) if known else set()
-            if row.home == row.block:
-                out.append((key[0], row.sample_id, row.entry_no, not known, len(now - earlier) if known else 0,
-                            len(now & earlier), len(earlier - now)))
-            before_no, before = int(row.entry_no), sorted(now)
-        state.update((before_no, before))
-        yield pd.DataFrame(out, columns=["participant_id", "sample_id", "entry_no", "first_day", "added", "recurring", "removed"])
-
-    return step
+DIFF_COLUMNS = ["participant_id", "sample_id", "entry_no", "entry_date", "concepts"]
+DIFF_SCHEMA = "participant_id string, sample_id string, entry_no long, first_day boolean, added long, recurring long, removed long"
