@@ -68,14 +68,11 @@ def scan_relation_map(spark, sf_dir):
 
 
 def scan_notes(spark, sf_dir):
-    """A folder tree with one file per note, read back whole."""
+    """Notes from archives of many notes per file, with line ends and markup as they were."""
     path = fresh_path(spark, "vault")
-    notes(DayGraphs(spark, sf_dir)).select(
-        F.substring_index("sample_id", "_", 1).alias("participant"), F.col("sample_id").alias("note"), "raw"
-    ).repartition(64, "participant").write.partitionBy("participant", "note").text(path)
-    back = S.read_notes(spark, path, "*.txt")
-    return back.select(
-        F.regexp_extract("path", r"note=([^/]+)/", 1).alias("sample_id"), F.md5(F.regexp_replace("raw", r"\n\z", "")).alias("digest"))
+    note = F.concat(F.lit("journal/"), "sample_id", F.lit(".md")).alias("path")
+    S.write_note_archive(notes(DayGraphs(spark, sf_dir)).select(note, "raw", F.col("file_date").cast("timestamp").alias("modified")), path)
+    return S.read_note_archive(spark, path).select(F.regexp_extract("path", r"/([^/]+)\.md$", 1).alias("sample_id"), F.md5("raw").alias("digest"))
 
 
 def sink_examples_by_split(spark, sf_dir):

@@ -11,6 +11,8 @@ from daygraph.operators import evaluate as E
 from daygraph.operators import texts as TX
 from daygraph.operators.verify import offsets
 from daygraph.plans.prepare_queries import kept_samples, labels, random_examples
+from daygraph.session import fresh_path
+from daygraph.sources import files as S
 from daygraph.sources.day_graphs import DayGraphs
 
 NOTE_TOP = "# Heading of the day\n\n- [x] done task\n* item one\n> quote with **bold** and _it_ words\nSee [[Target|Alias]] and [[Plain]], [link](http://x.y) ![[img.png]] `code` #tag/sub end\n\n\n\n"
@@ -90,7 +92,12 @@ def parse_date(spark, sf_dir):
 
 
 def resolve_note_date(spark, sf_dir):
-    return parsed(DayGraphs(spark, sf_dir)).select("sample_id", "date", "date_source")
+    """Dates of notes read back from archives; where neither front block nor name has one, the time of the file counts."""
+    vault = fresh_path(spark, "archive")
+    folder = F.concat(F.lit("journal/"), "sample_id", F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("path")
+    S.write_note_archive(notes(DayGraphs(spark, sf_dir)).select(folder, "raw", F.col("file_date").cast("timestamp").alias("modified")), vault)
+    read = S.read_note_archive(spark, vault).withColumn("file_date", F.to_date("modified"))
+    return TX.note_fields(read).select(F.split("path", "/")[1].alias("sample_id"), "date", "date_source")
 
 
 def filter_min_text(spark, sf_dir):

@@ -95,18 +95,17 @@ def run_day_diff(entries: DataFrame, out: str, keep: str = "INTERVAL 31 DAYS") -
     and overwrites its own, so results are the same. The result is the latest row per sample; a row that
     knows the entry before goes first, so one delivered again does not lose it. Entries without a participant or number have no neighbours.
     """
-    schema = T.StructType([*(entries.schema[c] for c in DIFF_COLUMNS), T.StructField("newest", T.DateType())])
+    flags = [T.StructField(c, T.BooleanType()) for c in ("met_before", "met_after")]
+    schema = T.StructType([*(entries.schema[c] for c in DIFF_COLUMNS), *flags, T.StructField("newest", T.DateType())])
     spark = entries.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.select(*DIFF_COLUMNS, F.lit(True).alias("fresh")).dropDuplicates(["participant_id", "entry_no", "sample_id"])
+        identity = ["participant_id", "entry_no", "sample_id"]
+        fresh = batch.select(*DIFF_COLUMNS, F.lit(False).alias("met_before"), F.lit(False).alias("met_after"), F.lit(None).cast("date").alias("newest"),
+                             F.lit(True).alias("fresh")).dropDuplicates(identity)
         if number:
             state = batch.sparkSession.read.schema(schema).parquet(f"{out}/state/batch={number - 1}")
-            again = fresh.select("participant_id", "entry_no", "sample_id")
-            fresh = fresh.withColumn("newest", F.lit(None).cast("date")).unionByName(
-                state.join(again, ["participant_id", "entry_no", "sample_id"], "left_anti").withColumn("fresh", F.lit(False)))
-        else:
-            fresh = fresh.withColumn("newest", F.lit(None).cast("date"))
+            fresh = fresh.unionByName(state.join(fresh.select(*identity), identity, "left_anti").withColumn("fresh", F.lit(False)))
         place = f"{out}/known/batch={number}"
         fresh.write.mode("overwrite").parquet(place)
         known = batch.sparkSession.read.schema(fresh.schema).parquet(place)
@@ -121,8 +120,9 @@ def run_day_diff(entries: DataFrame, out: str, keep: str = "INTERVAL 31 DAYS") -
             count(F.array_intersect(now, earlier)).alias("recurring"), count(F.array_except(earlier, now)).alias("removed"),
         ).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
         newest = known.agg(F.greatest(F.max("entry_date"), F.max("newest")).alias("newest"))
-        open_ = met.where("has_before IS NULL OR has_after IS NULL").drop("newest").crossJoin(F.broadcast(newest))  # one row
-        open_.where(F.expr(f"entry_date >= newest - {keep}")).select(*DIFF_COLUMNS, "newest").write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+        met = met.withColumns({f"met_{side}": F.col(f"met_{side}") | F.col(f"has_{side}").isNotNull() for side in ("before", "after")}).drop("newest")
+        open_ = met.where("NOT (met_before AND met_after)").crossJoin(F.broadcast(newest))  # one row
+        open_.where(F.expr(f"entry_date >= newest - {keep}")).select(*schema.names).write.mode("overwrite").parquet(f"{out}/state/batch={number}")
 
     query = entries.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
