@@ -39,6 +39,8 @@ from daygraph.session import fresh_path, written
 MIN_REVISIT = 1000
 #: A package is closed beyond this size; records are read in ranges of about this size.
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Ranges that a reading task takes one after the other, where there are more than cores.
+RANGES_A_TASK = 16
 #: Rows up to which the table of repeated payloads may be broadcast.
 BROADCAST_ROWS = 200_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -283,9 +285,11 @@ def _reader(with_payload: bool):
 
 def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
     """Every record of the listed packages, read by ranges: ids, digest, type and, if wanted, the payload."""
-    ranges = packages.repartition("path").mapInArrow(_ranges, "path string, start long, lengths array<long>")
+    cores = packages.sparkSession.sparkContext.defaultParallelism
+    spread = lambda n, share: max(1, min(n, max(cores, n // share)))  # a given number of tasks is not merged for the few bytes of their rows
+    ranges = written(packages.repartition(spread(packages.count(), 4), "path").mapInArrow(_ranges, "path string, start long, lengths array<long>"), "ranges")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return ranges.repartition("path", "start").mapInArrow(_reader(with_payload), schema)
+    return ranges.repartition(spread(ranges.count(), RANGES_A_TASK), "path", "start").mapInArrow(_reader(with_payload), schema)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
