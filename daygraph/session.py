@@ -51,11 +51,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/daygraph/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends, instead of when the driver forgets it.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing a table to the shared folder and reading it back."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage by writing a table to the shared folder and reading it back.
+
+    The shuffle files behind the table go as soon as it is written: a lost executor
+    re-reads the table, nothing asks for them again.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
