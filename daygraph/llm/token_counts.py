@@ -12,7 +12,9 @@ are in order of rank; a piece of rank r scores ``-log(r + 1)``. A character that
 piece covers costs one token per UTF-8 byte (byte fallback), each scored like the last rank.
 
 Tasks need nothing from each other: each keeps a trie of its own between batches,
-emptied beyond ``MAX_NODES`` (it is then filled again, results do not change).
+emptied beyond ``MAX_NODES`` (it is then filled again, results do not change). Words
+above ``LONG_WORD`` characters, which hardly share anything, run the same pass over a
+ring of the last scores without nodes, so memory is bounded whatever the word.
 
 Defined results: a null or blank text has no tokens; of equally good segmentations
 the one with fewer tokens counts; repeated rows are counted row by row; an empty
@@ -24,7 +26,7 @@ from __future__ import annotations
 import gc
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_NODES = 400_000
+#: Characters above which a word gets no nodes.
+LONG_WORD = 4096
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -56,6 +60,7 @@ class Trie:
     def __init__(self, pieces: dict[str, float], fallback: float):
         self.pieces, self.fallback = pieces, fallback
         self.ends = {p[i:] for p in pieces for i in range(len(p))}
+        self.reach = max(map(len, pieces), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -80,7 +85,27 @@ class Trie:
         self.nodes += 1
         return node
 
+    def forward(self, text: str) -> int:
+        """Tokens of a text of any length, by the same steps; of its prefixes only those within the reach of a piece are kept."""
+        kept = deque([(0.0, 0)], maxlen=self.reach + 1)
+        for end, char in enumerate(text, 1):
+            n = len(char.encode("utf-8", "surrogatepass"))
+            score, tokens = kept[-1][0] + n * self.fallback, kept[-1][1] + n
+            for size in range(1, min(self.reach, end) + 1):
+                suffix = text[end - size : end]
+                piece = self.pieces.get(suffix)
+                if piece is not None:
+                    s, t = kept[-size][0] + piece, kept[-size][1] + 1
+                    if s > score or (s == score and t < tokens):
+                        score, tokens = s, t
+                elif suffix not in self.ends:
+                    break
+            kept.append((score, tokens))
+        return kept[-1][1]
+
     def count(self, word: str) -> int:
+        if len(word) > LONG_WORD:
+            return self.forward(MARK + word)
         found = self.counts.get(word)
         if found is None:
             if self.nodes > MAX_NODES:
