@@ -134,10 +134,13 @@ m AS (SELECT rid, template, label, base, grams, list_distinct(flatten(list(t)))
              list(diagonal) FILTER (len(t) = grams) AS places FROM s GROUP BY rid, template, label, base, grams, grp),
 x AS (SELECT *, base AND coalesce(len(places), 0) > 0 AS found, len(t) / grams AS cover,
              NOT base AND len(t) / grams >= {MIN_COVER} AND last - (low + list_min(t)) + {K} <= {MAX_STRETCH} * (grams + {K - 1}) AS verified FROM m),
+y AS (SELECT *, low + list_min(t) AS a, last + {K} AS z FROM x),
+o AS (SELECT rid, a AS oa, z AS oz, max(cover) AS oc FROM y WHERE verified GROUP BY ALL),
+p AS (SELECT *, verified AND NOT EXISTS (SELECT 1 FROM o WHERE o.rid = y.rid AND oa < z AND oz > a AND oc > cover) AS best FROM y),
 r AS (SELECT rid, coalesce(sum(len(places)) FILTER (found), 0) AS n_base, min(list_min(places)) FILTER (found) AS first_word,
              max(list_max(places)) FILTER (found) AS last_word, list_sort(list(DISTINCT label) FILTER (found)) AS bl,
-             list_sort(list(DISTINCT label) FILTER (found OR verified)) AS al,
-             max(CASE WHEN found THEN 1.0::DOUBLE WHEN verified THEN cover END) AS score FROM x GROUP BY rid)
+             list_sort(list(DISTINCT label) FILTER (found OR best)) AS al,
+             max(CASE WHEN found THEN 1.0::DOUBLE WHEN best THEN cover END) AS score FROM p GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN r USING (rid)
