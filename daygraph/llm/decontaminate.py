@@ -32,16 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daygraph.llm import textbytes as X
-from daygraph.session import written
+from daygraph.session import discard, written
 
 WINDOW = 13
 #: A document is contaminated when hit words are at least one in this many.
 SHARE = 20
 #: Bytes of text per suffix array; characters of benchmark text per block.
 SHARD = 4 << 20
-BLOCK_CHARS = 64 << 20
-#: Column that holds the matches of earlier blocks.
-HELD = "matches_of_earlier_blocks"
+BLOCK_CHARS = 4 << 20
 MATCH = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("words", pa.int64())]))
 FOUND = T.ArrayType(T.StructType().add("item", "string").add("item_at", "long").add("at", "long").add("words", "long"))
 MATCH_DDL = "array<struct<item:string,item_at:bigint,at:bigint,words:bigint>>"
@@ -55,15 +53,17 @@ class Windows:
         words = [h[a:b] for _, h, o in X.pieces(texts, X.PLAIN) for a, b in zip(o[:-1], o[1:], strict=True)]
         self.names = [n for n, _ in items]
         self.vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, np.uint64)
-        rows, size, item, place = [], [], [], []
-        for number, hashes in enumerate(words):
-            ids = np.searchsorted(self.vocabulary, hashes) + 1
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                rows.append(np.pad(ids[at : at + n], (0, window - n)))
-                size.append(n), item.append(number), place.append(at)
-        self.rows = np.array(rows, np.int32).reshape(-1, window)
-        self.size, self.item, self.place = (np.array(x, np.int64) for x in (size, item, place))
+        rows, counts = [np.empty((0, window), np.int32)], []
+        for hashes in words:
+            ids = (np.searchsorted(self.vocabulary, hashes) + 1).astype(np.int32)
+            # An item shorter than a window is one, filled up with zeros; an item without words is none.
+            whole = np.pad(ids, (0, max(0, window - len(ids))))
+            rows.append(np.lib.stride_tricks.sliding_window_view(whole, window)[: len(whole) if len(ids) else 0])
+            counts.append(len(rows[-1]))
+        self.rows = np.concatenate(rows)
+        self.size = np.count_nonzero(self.rows, axis=1).astype(np.int64)
+        self.item = np.repeat(np.arange(len(counts)), counts)
+        self.place = np.arange(len(self.rows)) - np.repeat(np.cumsum(counts) - counts, counts) if counts else np.empty(0, np.int64)
 
 
 def _bound(array: np.ndarray, rows: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
@@ -157,6 +157,9 @@ def _search(docs: DataFrame, benchmark: DataFrame, text: str, schema: str, finis
     spark, names = docs.sparkSession, docs.columns
     blocks = _blocks(benchmark)
     block, place = next(blocks), names.index(text)
+    held = "matches_of_earlier_blocks"
+    while held in {n.lower() for n in names}:
+        held += "_"
     first = True
     for following in chain(blocks, [None]):
         wanted = spark.sparkContext.broadcast(Windows(block))
@@ -170,12 +173,15 @@ def _search(docs: DataFrame, benchmark: DataFrame, text: str, schema: str, finis
                     yield finish(own, n_words, found)
                 else:
                     yield pa.RecordBatch.from_arrays(
-                        [*own.columns, pa.array(found, MATCH)], schema=pa.schema([*own.schema, pa.field(HELD, MATCH)]))
+                        [*own.columns, pa.array(found, MATCH)], schema=pa.schema([*own.schema, pa.field(held, MATCH)]))
 
         if following is None:
             return docs.mapInArrow(run, schema)
-        with_found = docs.schema if not first else T.StructType([*docs.schema, T.StructField(HELD, FOUND)])
-        docs = written(docs.mapInArrow(run, with_found), "matches")
+        with_found = docs.schema if not first else T.StructType([*docs.schema, T.StructField(held, FOUND)])
+        before, docs = docs, written(docs.mapInArrow(run, with_found), "matches")
+        if not first:
+            discard(before)
+        wanted.destroy()
         first, block = False, following
     raise AssertionError
 
