@@ -14,7 +14,8 @@ chunk, until each source has two left. With ``HELD`` documents that the flights
 out they are the landing problem: of all its roundings the one closest to the
 balance of words is taken.
 
-A hot source is many chunks, dealt by a hash; all sums are partial aggregates, and
+A hot source is many chunks, dealt by a hash, and by a running number where one
+document is there more than ``CHUNK`` times; all sums are partial aggregates, and
 only scalars (total words and weights) reach the driver. Chunks, order and draws
 depend on ids and texts alone, so reruns agree.
 
@@ -22,7 +23,7 @@ Defined results: null is an empty text of no words; a null source is a source of
 its own; documents without words are drawn like others; a source without words has
 target 0; repeated rows are documents of their own and may be drawn differently; an
 empty table gives an empty result; extra columns are ignored (``mix_documents``
-returns them untouched, whatever their names).
+returns them untouched, whatever their names, and names its own column by ``copies_name``).
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygraph.llm import words as W
+from daygraph.llm.places import placed
 from daygraph.session import written
 
 WEIGHTS = (5, 2, 1)
@@ -136,15 +138,34 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         F.lit(left) * F.col("weight") / F.lit(weight)).alias("target"))
 
 
+def numbered(keyed: DataFrame) -> DataFrame:
+    """Adds ``number``: 0, or for rows of a document that is there more than ``CHUNK`` times a running number among these.
+
+    Numbers come from parts of about ``CHUNK`` rows, their counts and the places inside. They
+    spread equal rows over all chunks of the source, equally many whatever the order of the rows.
+    """
+    same = F.struct("source_key", "doc_id", "content")
+    often = written(keyed.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CHUNK), "often")
+    found = keyed.withColumn("same", same).join(often, "same", "left")
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("k") / CHUNK))
+    parts = found.where("k IS NOT NULL").withColumn("part", part)
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    start = written(parts.groupBy("same", "part").agg(F.count(F.lit(1)).alias("c")).select(
+        "same", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start")), "starts")
+    place = F.row_number().over(Window.partitionBy("same", "part").orderBy("row"))
+    spread = parts.join(start, ["same", "part"]).withColumn("number", F.col("start") + place - 1)
+    return found.where("k IS NULL").select(*keyed.columns, F.lit(0).cast("long").alias("number")).union(spread.select(*keyed.columns, "number"))
+
+
 def draw(rows: DataFrame) -> DataFrame:
     """Copies of every document, from rows of row, doc_id, content, source, size: adds ``source_size, target, copies``."""
     # Null comes last: present sources begin with 0.
-    keyed = rows.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))
+    keyed = numbered(rows.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))))
     due = keyed.join(source_targets(keyed), "source_key").withColumn(
         "q", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn(
         "sure", F.floor(F.col("q") + F.lit(_NEAR))).withColumn("p", F.greatest(F.col("q") - F.col("sure"), F.lit(0.0)))
     chunks = F.ceil(F.col("n") / CHUNK)
-    due = due.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "content"), F.greatest(chunks, F.lit(1)))).withColumn("chunks", chunks).drop("q", "n")
+    due = due.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "content") + F.col("number"), F.greatest(chunks, F.lit(1)))).withColumn("chunks", chunks).drop("q", "n", "number")
     schema = due.schema
     state = written(due.groupBy("source_key", "chunk").applyInPandas(_flight(False), schema), "flight")
     decided, size = state.where("p <= 0 OR p >= 1"), state.agg(F.max("chunks")).first()[0] or 0
@@ -162,21 +183,33 @@ def _sized(docs: DataFrame, text: str) -> list:
     return [F.size(W.blank_words(body)).cast("long").alias("size"), F.xxhash64(body).alias("content")]
 
 
+def _drawn(docs: DataFrame, doc_id: str, text: str, source: str, *row) -> DataFrame:
+    rows = written(docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), *_sized(docs, text), *row), "sizes")
+    return draw(rows)
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every document."""
-    rows = written(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), *_sized(docs, text)), "sizes")
-    return draw(rows).select(
+    return _drawn(docs, doc_id, text, source, F.monotonically_increasing_id().alias("row")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents that the mix takes, with their own columns and ``mix_copies``. Rows are numbered in a written table."""
-    stored = written(docs.select(F.monotonically_increasing_id().alias("mix_row"), *[F.col(f"`{c}`") for c in docs.columns]), "documents")
-    rows = written(stored.select(
-        F.col("mix_row").alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), *_sized(stored, text)), "sizes")
-    taken = draw(rows).where("copies > 0").select(F.col("row").alias("mix_row"), F.col("copies").alias("mix_copies"))
-    return stored.join(taken, "mix_row").drop("mix_row")
+    """The documents that the mix takes, with their own columns and their number of copies, named by ``copies_name``."""
+    rows, _ = placed(docs)
+    of = lambda c: F.col(f"doc.`{c}`")
+    named = rows.select(F.concat_ws(":", "row.file", "row.check", "row.index").alias("row"), of(doc_id).alias("doc_id"), of(text).alias("text"), of(source).alias("source"))
+    taken = written(_drawn(named, "doc_id", "text", "source", F.col("row")).where("copies > 0").select("row", "copies"), "taken")
+    return rows.withColumn("row", F.concat_ws(":", "row.file", "row.check", "row.index")).join(taken, "row").select("doc.*", F.col("copies").alias(copies_name(docs.columns)))
+
+
+def copies_name(columns: list[str]) -> str:
+    """``mix_copies``, with as many ``_`` behind it as make it a new name."""
+    name = "mix_copies"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
