@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept; all
 but the last return the columns of ``documents``. Every stage is written to the
-shared folder and read again, so a later stage never repeats an earlier one.
+shared folder and read again, so a later stage never repeats an earlier one; what
+the stage before wrote is deleted then.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from daygraph.llm.mixing import mix_documents
 from daygraph.llm.pii import mask
 from daygraph.llm.quality_rules import keep_good
 from daygraph.llm.set_join import keep_one
-from daygraph.session import written
+from daygraph.session import discard, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(before)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
