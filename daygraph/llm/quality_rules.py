@@ -1,8 +1,7 @@
 """Quality rules with host verdicts, on built-in functions only.
 
-Every document is measured (words, symbols, repeated lines and 5-word windows). For
-the table of measures they are written, without the text, to the shared folder; the
-filter ``keep_good`` measures a second time instead of writing texts.
+Every document is measured once (words, symbols, repeated lines and 5-word
+windows) and the measures, without the text, are written to the shared folder.
 Rule failures are summed per host (map-side, so a hot host is a handful of
 partial rows), the failure rates are shrunk by a beta prior fitted to all hosts,
 and the verdict of a host goes back to its documents:
@@ -23,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygraph.llm import words as W
-from daygraph.session import written
+from daygraph.llm.places import placed
+from daygraph.session import discard, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -142,14 +142,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """Documents that pass, with their own columns.
 
-    Texts are measured twice, for the sums of the hosts and for the verdict, so no text is
-    written or shuffled; the verdicts, a row per host, are written, and their size decides the join.
+    Texts are measured once; measures are written with the places of their rows, without the
+    texts, and what is rejected is taken away by place. The size of that table decides the join.
     """
-    flags = lambda *kept: with_failures(measure(docs.select(F.col(host).alias("q_host"), F.col(text).alias("q_raw"), *kept), "q_raw"))
-    verdicts = written(host_verdicts(flags().drop("q_raw"), "q_host"), "verdicts")
-    # The caller's columns travel as one struct, so their names meet no others.
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_doc")
-    return judge(flags(whole), verdicts, "q_host").where("q_kept").select("q_doc.*")
+    rows, _ = placed(docs)
+    measured = written(with_failures(measure(rows.select(
+        F.col("row").alias("q_row"), F.col(f"doc.`{host}`").alias("q_host"), F.col(f"doc.`{text}`").alias("q_raw")), "q_raw")).drop("q_raw"), "quality")
+    gone = written(judge(measured, host_verdicts(measured, "q_host"), "q_host").where("NOT q_kept").select(F.col("q_row").alias("row")), "rejected")
+    discard(measured)
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
