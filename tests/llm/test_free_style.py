@@ -369,6 +369,32 @@ def test_token_counts_equal_plain_dynamic_program(spark):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_long_words_need_no_nodes():
+    trie = token_counts.Trie(*token_counts.piece_scores())
+    draw = random.Random(3)
+    word = "".join(draw.choice("abcdeäß漢") for _ in range(token_counts.LONG_WORD))
+    assert trie.forward(token_counts.MARK + word) == trie.count(word)
+    before = trie.nodes
+    assert trie.count(word * 50) > trie.count(word) and trie.nodes == before
+
+
+def test_windows_of_short_and_empty_items():
+    wanted = decontaminate.Windows([("a", "x y"), ("b", None), ("c", " ".join(f"w{i}" for i in range(15)))])
+    assert wanted.size.tolist() == [2, 13, 13, 13] and wanted.item.tolist() == [0, 2, 2, 2] and wanted.place.tolist() == [0, 0, 1, 2]
+    assert decontaminate.Windows([("b", "")]).rows.shape == (0, 13)
+
+
+def test_repeated_rows_are_dealt_over_chunks(spark, monkeypatch):
+    """Equal rows get running numbers, whatever their order; names of the caller's columns meet no others."""
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    keyed = spark.createDataFrame([(i, None if i % 2 else 7, 1, "0s") for i in range(400)], "row long, doc_id long, content long, source_key string")
+    for rows in (keyed, keyed.repartition(5)):
+        got = mixing.numbered(rows).collect()
+        assert all(sorted(r.number for r in got if r.doc_id == d) == list(range(200)) for d in (None, 7))
+    docs = spark.createDataFrame([(1, "a b", "s", 0, 0)], "doc_id long, text string, source string, mix_copies int, row int")
+    assert mixing.mix_documents(docs).columns == [*docs.columns, "mix_copies_"]
+
+
 def test_trie_gives_the_same_when_emptied(monkeypatch):
     words = [f"wo{i % 50}rd{i % 7}" for i in range(400)]
     whole = token_counts.Trie(*token_counts.piece_scores())

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -97,6 +98,25 @@ def test_each_notice_has_its_own_label_alone(spark):
     assert all(r.score == 1 for r in got)
 
 
+def test_sibling_notices_equal_sql(spark):
+    """Overlapping spans of sibling licenses: query and SQL follow the same rule."""
+    rows = [(100 * i + j, f"words {a} and {b} more") for i, (_, a) in enumerate(license_scan.NOTICES) for j, (_, b) in enumerate(license_scan.NOTICES[:2])]
+    rows += [(5000 + i, text) for i, (_, text) in enumerate(license_scan.NOTICES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, license_scan.license_scan(docs).collect())) == sorted(con.execute(license_scan.ORACLE["op9_license_scan"]).fetchall())
+
+
+def test_stage_with_clashing_columns(spark):
+    """Columns named like those of the operator, and rows of files or of anything else."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clash = docs.selectExpr("*", "1 AS q_text", "2 AS v_host", "3 AS q_row", "4 AS row", "5 AS doc")
+    kept = quality_rules.keep_good(clash)
+    assert kept.columns == clash.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in quality_rules.keep_good(docs).collect())
+
+
 def test_notice_with_words_put_in_is_merged_over_diagonals(spark):
     notice = dict(license_scan.NOTICES)["bsd"].split()
     changed = " ".join(["some", "words", *notice[:8], "gladly", *notice[8:], "end"])
