@@ -32,6 +32,6 @@ def test_draws_of_hard_negatives_are_never_broadcast(spark):
 def test_tables_count_with_their_size_in_memory(spark):
     t = DayGraphs(spark, "/root/testdata/sf0.001")
     assert float(spark.conf.get(FILE_FACTOR)) >= UNPACKED
-    size = int(t.nodes()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(t.nodes()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     rows = t.nodes().count()
     assert size > 100 * rows
