@@ -5,7 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from daygraph import constants as C
 from daygraph.functions import text as X
+from daygraph.operators import extract as EX
 from daygraph.operators import prepare as P
 from daygraph.operators import texts as TX
 from daygraph.operators import verify as V
@@ -85,3 +87,16 @@ def test_rewrite_needs_signs_only(spark):
     df = spark.createDataFrame([("de", "Bis morgen.", [1]), ("de", "Bis morgen.", [0]), ("en", "Bis morgen.", [0])], "l string, t string, o array<int>")
     signs = TX.rewrite_signs(F.col("t"), F.lower("t"), F.col("l"))
     assert [r[0] for r in df.select(TX.needs_rewrite(signs, F.col("o"))).collect()] == [False, True, False]
+
+
+def test_edges_of_extracted_graphs_sort_no_pairs(spark):
+    nodes = spark.createDataFrame([("s1", "a", "event", "neutral", 1, "n1"), ("s1", "b", "emotion", "neutral", 2, "n2"), ("s1", "c", "thought", "neutral", 3, "n3")],
+                                  "sample_id string, concept_id string, type string, polarity string, rank long, node_id string")
+    texts = spark.createDataFrame([("s1", "t")], "sample_id string, text string")
+    relations = spark.createDataFrame([("event", "emotion", "causes", 2), ("emotion", "event", "eases", 3)], "src_type string, dst_type string, relation string, n long")
+    value = {"ab": 0.9, "ba": 0.5, "ac": 0.9, "ca": 0.0, "bc": 0.2, "cb": 1.0}
+    table = F.create_map(*[F.lit(x) for kv in value.items() for x in kv])
+    out = EX.extract_edges(texts, nodes, relations, lambda said, pairs: pairs.join(said, "sample_id").withColumn("score", table[F.concat("concept_id_a", "concept_id_b")]), 0.6)
+    got = {(r.node_id_a, r.node_id_b, round(r.p, 3), r.reversed, r.relation) for r in out.collect()}
+    assert got == {("n1", "n2", 0.7, True, "eases"), ("n2", "n3", 0.6, False, C.DEFAULT_RELATION)}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
