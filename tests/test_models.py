@@ -98,3 +98,15 @@ def test_ablation_features(spark):
     full = TX.pair_features(pair).first().features
     assert len(full) == 9 and "type_pair=a__b" in full and "cid_pair=x__y" in full
     assert len(TX.pair_features(pair, with_concepts=False).first().features) == 6
+
+
+def test_a_step_writes_examples_not_features(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(LG, "written", lambda df, name, keep=LG.written: sizes.append((name, keep(df, name))) or sizes[-1][1])
+    monkeypatch.setattr(LG, "discard", lambda *tables: None)
+    design = spark.createDataFrame([(i, f"f{i}_{j}", 1.0) for i in range(6) for j in range(50)], "key long, feature string, value double")
+    examples = spark.createDataFrame([(i, [float(i % 2)]) for i in range(6)], "id long, y array<double>")
+    (found,) = LG.fit([LG.Part(design, "id")], examples, ["a"])
+    states = [df.count() for name, df in sizes if name == "fit-state"]
+    assert len(states) == found.steps + 2 and set(states) == {6}
+    assert found.coefficients.count() == 300
