@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of text per suffix array; characters of benchmark text per block.
 SHARD = 4 << 20
+#: Windows that are searched at once.
+AT_ONCE = 1 << 16
 BLOCK_CHARS = 4 << 20
 MATCH = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("words", pa.int64())]))
 FOUND = T.ArrayType(T.StructType().add("item", "string").add("item_at", "long").add("at", "long").add("words", "long"))
@@ -67,7 +70,12 @@ class Windows:
 
 
 def _bound(array: np.ndarray, rows: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
-    """First place in the sorted suffixes not before (or after) each window, by binary search over all windows at once."""
+    """First place in the sorted suffixes not before (or after) each window."""
+    return np.concatenate([_bound_of(array, rows[k : k + AT_ONCE], size[k : k + AT_ONCE], after) for k in range(0, len(rows), AT_ONCE)])
+
+
+def _bound_of(array: np.ndarray, rows: np.ndarray, size: np.ndarray, after: bool) -> np.ndarray:
+    """The same by binary search over all these windows at once."""
     low, high = np.zeros(len(rows), np.int64), np.full(len(rows), len(array), np.int64)
     used = np.arange(rows.shape[1]) < size[:, None]
     while (live := low < high).any():
@@ -97,8 +105,9 @@ def find_matches(hashes: np.ndarray, offsets: np.ndarray, wanted: Windows) -> tu
     starts = starts[np.isin(ids[starts], np.unique(wanted.rows[:, 0]))]
     if not len(starts):
         return none
-    columns = np.arange(depth)
-    suffixes = np.where(columns < known[starts][:, None], ids[np.minimum(starts[:, None] + columns, len(ids) - 1)], 0)
+    suffixes = np.empty((len(starts), depth), np.int32)
+    for k in range(depth):
+        suffixes[:, k] = np.where(k < known[starts], ids[np.minimum(starts + k, len(ids) - 1)], 0)
     order = np.lexsort(suffixes.T[::-1])
     starts, suffixes = starts[order], suffixes[order]
     low = _bound(suffixes, wanted.rows, wanted.size, False)
@@ -127,6 +136,18 @@ def _scan(texts: pa.LargeStringArray, before: list | None, wanted: Windows) -> t
     return n_words, found
 
 
+def _shards(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a shard of text: what a task holds beside its batch goes with the shard."""
+    for batch in batches:
+        column = batch.column(place)
+        if not len(column):
+            yield batch
+            continue
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        for a, b in X.runs(ends, SHARD):
+            yield batch.slice(a, b - a)
+
+
 def hit_words(matches: list[dict]) -> int:
     """Words inside any match."""
     total, end = 0, 0
@@ -165,7 +186,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, text: str, schema: str, finis
         wanted = spark.sparkContext.broadcast(Windows(block))
 
         def run(batches, wanted=wanted, first=first, ends=following is None):
-            for batch in batches:
+            for batch in _shards(batches, place):
                 before = None if first else batch.column(batch.num_columns - 1).to_pylist()
                 n_words, found = _scan(X.texts_of(batch.column(place)), before, wanted.value)
                 own = batch if first else pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
