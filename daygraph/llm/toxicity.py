@@ -11,16 +11,17 @@ Everything is learned from labelled rows with ``crc32(id) mod 5 <> 0``, at most
 ``TRAIN_ROWS`` of them, the first by a hash of the id; an id teaches one text, its smallest:
 
 * candidates: terms in at least ``MIN_SUPPORT`` toxic texts whose smoothed log-odds, less
-  1.64 standard errors, are above 0;
+  1.64 standard errors, are above 0; clean texts are counted for terms with that support only;
 * exceptions: a candidate with the word before or after it, where such pairs are at least
   ``MIN_SUPPORT`` times in clean texts and no likelier in toxic ones than elsewhere. A first pass
   counts clean texts in a sketch of ``CELLS`` cells by the phrase's hash. A cell never counts less than
-  any of its phrases, so only phrases of cells that reach the support are counted exactly;
+  any of its phrases, so only phrases of cells that reach the support are counted exactly, and only those of
+  candidates that could still be entries: clean texts that use one outside such cells use it outside all exceptions;
 * entries: all candidates whose odds outside their exceptions, less 1.64 standard errors, reach
   ``MIN_ODDS``; counted per task, then summed by term in a shuffle;
 * the power of the length and the logistic curve, by likelihood.
 
-Labels, language, source and id are never part of a score.
+The training texts are folded once, and written folded. Labels, language, source and id are never part of a score.
 
 Defined results: null is an empty text and has the score of a text without entries;
 without training rows every score is 0; a null id is not held out; repeated rows are
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygraph.session import written
+from daygraph.session import discard, written
 
 TRAIN_ROWS = 200_000
 MIN_SUPPORT, MIN_ODDS = 5, 2.0
@@ -52,6 +53,8 @@ MIN_SUPPORT, MIN_ODDS = 5, 2.0
 STEMS = (4, 5, 6)
 #: Distinct terms a task holds before it passes its counts on.
 HELD_TERMS = 500_000
+#: Folded characters that a task passes on at once.
+HELD_CHARS = 1 << 23
 #: Cells of the phrase sketch, a byte each, and those of one block of it.
 CELLS, SKETCH_BLOCK = 1 << 26, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -69,86 +72,148 @@ _TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()} | {ord(c): None for c in JO
 _GAP = re.compile(r"[^\w]+|_+")
 
 
-def fold(text: str) -> str:
-    """Folded words, each between single blanks."""
+#: Folded code points by code point, filled as they are met; the last three values mark special ones.
+_CODES = np.full(0x110000, 0xFFFFFFFF, np.uint32)
+_UNSEEN, _GONE, _SLOW = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
+
+
+def _code(point: int) -> int:
+    """What a code point is folded to by itself: a letter, 32 for a gap, 95 for a low line, nothing, or more than that can say."""
+    folded = chr(point).translate(_TABLE).lower().translate(_TABLE)
+    if point == 0x3A3 or len(folded) > 1:  # a sigma's lower case depends on its place in the word
+        return _SLOW
+    return _GONE if not folded else ord(folded) if folded == "_" or not _GAP.match(folded) else 32
+
+
+def _fold_by_rule(text: str) -> str:
     return " " + _GAP.sub(" ", text.translate(_TABLE).lower().translate(_TABLE)).strip() + " "
 
 
+def fold(text: str) -> str:
+    """Folded words, each between single blanks. The same as by the rule above, code point by code point."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[points]
+    if len(codes) and codes.max() >= _SLOW:
+        for point in np.unique(points[codes == _UNSEEN]).tolist():
+            _CODES[point] = _code(point)
+        codes = _CODES[points]
+        if (codes == _SLOW).any():
+            return _fold_by_rule(text)
+        codes = codes[codes != _GONE]
+    kind = (codes == 32) + 2 * (codes == 95).astype(np.uint8)
+    kept = kind == 0
+    kept[:1] = True
+    kept[1:] |= kind[1:] != kind[:-1]
+    return " " + np.where(kind, np.uint32(32), codes)[kept].tobytes().decode("utf-32-le", "surrogatepass").strip() + " "
+
+
 def terms(folded: str) -> set[str]:
     """Distinct terms of a folded text as the automaton meets them: `` word `` and `` stem``."""
     words = set(folded.split())
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size - len(array), len(array)), array.dtype)])
+
+
 class Uses:
     """Every use of the given entries in texts, also where a longer one begins at the word."""
 
     def __init__(self, entries: frozenset[str]):
-        self.entries, self.known = entries, {}
-
-    def of(self, word: str) -> tuple[int, list[str], list[int]]:
-        """Hash of the word, the entries that it uses, and their hashes."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= HELD_TERMS:
-                self.known.clear()
-            names = [e for e in (f" {word} ", *[f" {word[:k]}" for k in STEMS if len(word) > k]) if e in self.entries]
-            found = self.known[word] = xxhash.xxh64_intdigest(word), names, [xxhash.xxh64_intdigest(e) for e in names]
-        return found
-
-    def outside(self, folded: str, exceptions: frozenset[str]) -> set[str]:
-        """Entries with a use that is in no exception phrase."""
+        self.names = sorted(entries)
+        self.number = {e: i for i, e in enumerate(self.names)}
+        self.mark = np.array([xxhash.xxh64_intdigest(e) for e in self.names], np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Known words by number: their hash, and the entries of word i in used[first[i] : first[i + 1]].
+        self.known: dict[str, int] = {}
+        self.word, self.first, self.used = np.zeros(1024, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def _learn(self, word: str) -> None:
+        at = self.known[word] = len(self.known)
+        found = [self.number[e] for e in (f" {word} ", *[f" {word[:k]}" for k in STEMS if len(word) > k]) if e in self.number]
+        start = int(self.first[at])
+        self.word, self.first, self.used = _grown(self.word, at + 1), _grown(self.first, at + 2), _grown(self.used, start + len(found))
+        self.word[at], self.first[at + 1], self.used[start : start + len(found)] = xxhash.xxh64_intdigest(word), start + len(found), found
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words, and of every use the place of its word and the entry."""
+        if len(self.known) >= HELD_TERMS:
+            self._forget()
+        for word in set(words).difference(self.known):
+            self._learn(word)
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        start = self.first[ids]
+        count = self.first[ids + 1] - start
+        at = np.repeat(np.arange(len(ids)), count)
+        return ids, at, self.used[np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(at))]
+
+    def met(self, folded: str) -> np.ndarray:
+        """Distinct entries used."""
+        return np.unique(self.of(folded.split())[2])
+
+    def outside(self, folded: str, exceptions: frozenset[str]) -> np.ndarray:
+        """Distinct entries with a use that is in no exception phrase."""
         words, found = folded.split(), set()
-        for i, word in enumerate(words):
-            for entry in self.of(word)[1]:
-                if entry not in found and not (
-                    i and f"{words[i - 1]}|{entry}|" in exceptions or i + 1 < len(words) and f"|{entry}|{words[i + 1]}" in exceptions):
-                    found.add(entry)
-        return found
+        _, at, entry = self.of(words)
+        for i, number in zip(at.tolist(), entry.tolist(), strict=True):
+            name = self.names[number]
+            if number not in found and not (
+                i and f"{words[i - 1]}|{name}|" in exceptions or i + 1 < len(words) and f"|{name}|{words[i + 1]}" in exceptions):
+                found.add(number)
+        return np.fromiter(found, np.int64, len(found))
 
     def _phrases(self, words: list[str]):
-        """Entries used, then per side (word before, word after) the places among them, the other word's place and the cells."""
-        met = [self.of(w) for w in words]
-        at = np.repeat(np.arange(len(met)), [len(m[1]) for m in met])
-        entry, word = np.array([h for m in met for h in m[2]], np.uint64), np.array([m[0] for m in met], np.uint64)
-        sides = []
+        """Places and entries of all uses, then per side (word before, word after) the uses that have one and the phrases' cells."""
+        ids, at, entry = self.of(words)
+        word, sides = self.word[ids], []
         for step in (-1, 1):
-            use = np.flatnonzero((at + step >= 0) & (at + step < len(met)))
-            other = at[use] + step
-            first, second = (word[other], entry[use]) if step < 0 else (entry[use], word[other])
+            use = np.flatnonzero(at > 0 if step < 0 else at + 1 < len(ids))
+            other, mark = word[at[use] + step], self.mark[entry[use]]
+            first, second = (other, mark) if step < 0 else (mark, other)
             mixed = ((first ^ (first >> np.uint64(29))) * _ODD + second) * _ODD
-            sides.append((use, other, (mixed >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)))
-        return [n for m in met for n in m[1]], sides
+            sides.append((use, (mixed >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)))
+        return at, entry, sides
 
     def cells(self, folded: str) -> np.ndarray:
         """Distinct cells of a text's phrases."""
-        words = folded.split()
-        return np.unique(np.concatenate([cell for _, _, cell in self._phrases(words)[1]])) if words else np.zeros(0, np.int64)
+        return np.unique(np.concatenate([cell for _, cell in self._phrases(folded.split())[2]]))
+
+    def bare(self, folded: str, bits: np.ndarray) -> np.ndarray:
+        """Distinct entries with a use in no phrase whose cell is marked."""
+        _, entry, sides = self._phrases(folded.split())
+        free = np.ones(len(entry), bool)
+        for use, cell in sides:
+            free[use[_marked(bits, cell)]] = False
+        return np.unique(entry[free])
 
     def frequent(self, folded: str, bits: np.ndarray) -> set[str]:
         """Distinct phrases whose cells are marked."""
         words = folded.split()
-        if not words:
-            return set()
-        names, sides = self._phrases(words)
+        at, entry, sides = self._phrases(words)
         found = set()
-        for left, (use, other, cell) in zip((True, False), sides, strict=True):
-            marked = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-            for u, o in zip(use[marked].tolist(), other[marked].tolist(), strict=True):
-                found.add(f"{words[o]}|{names[u]}|" if left else f"|{names[u]}|{words[o]}")
+        for step, (use, cell) in zip((-1, 1), sides, strict=True):
+            use = use[_marked(bits, cell)]
+            for i, number in zip(at[use].tolist(), entry[use].tolist(), strict=True):
+                found.add(f"{words[i - 1]}|{self.names[number]}|" if step < 0 else f"|{self.names[number]}|{words[i + 1]}")
         return found
 
 
-def _supported_cells(train: DataFrame, wide) -> np.ndarray:
+def _marked(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _supported_cells(clean: DataFrame, wide) -> np.ndarray:
     """Bits of the cells that reach the support in clean texts. The result has ``CELLS / 8`` bytes whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses, sketch = Uses(wide.value), np.zeros(CELLS, np.uint8)
         for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                if not toxic:
-                    cells = uses.cells(fold(text.as_py() or ""))
-                    sketch[cells] = np.minimum(sketch[cells], MIN_SUPPORT - 1) + 1
+            for folded in batch.column("folded"):
+                cells = uses.cells(folded.as_py())
+                sketch[cells] = np.minimum(sketch[cells], MIN_SUPPORT - 1) + 1
         for block in range(CELLS // SKETCH_BLOCK):
             part = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
             if part.any():
@@ -162,7 +227,7 @@ def _supported_cells(train: DataFrame, wide) -> np.ndarray:
 
     bits = np.zeros(CELLS // 8, np.uint8)
     width = SKETCH_BLOCK // 8
-    for row in train.mapInArrow(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, bits binary").collect():
+    for row in clean.mapInArrow(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, bits binary").collect():
         bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -200,7 +265,9 @@ class Lexicon:
 
     def measure(self, text: str) -> tuple[float, int]:
         """Summed weights outside exceptions, and words."""
-        folded = fold(text)
+        return self.measure_folded(fold(text))
+
+    def measure_folded(self, folded: str) -> tuple[float, int]:
         total = 0.0
         for entry, at in self.found(folded):
             if not self.exceptions or self.exceptions.isdisjoint(self.phrases(folded, entry, at)):
@@ -213,8 +280,20 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def _counted(terms_of):
-    """Per task: how many toxic and clean texts have each term."""
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, held = [], 0
+        toxic, done = batch.column("toxic"), 0
+        for k, text in enumerate(batch.column("text"), 1):
+            texts.append(fold(text.as_py() or ""))
+            held += len(texts[-1])
+            if held > HELD_CHARS or k == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), toxic.slice(done, k - done)], names=["folded", "toxic"])
+                texts, held, done = [], 0, k
+
+
+def _term_counts(train: DataFrame, terms_of) -> DataFrame:
+    """How many toxic and clean texts have each term, counted per task, then by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -226,13 +305,28 @@ def _counted(terms_of):
             return batch
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                counts[toxic].update(terms_of(fold(text.as_py() or "")))
+            for folded, toxic in zip(batch.column("folded"), batch.column("toxic").to_pylist(), strict=True):
+                counts[toxic].update(terms_of(folded.as_py()))
                 if len(counts[0]) + len(counts[1]) > HELD_TERMS:
                     yield flush()
         yield flush()
 
-    return run
+    return train.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def _entry_counts(train: DataFrame, entries, found) -> DataFrame:
+    """How many toxic and clean texts have each of the shared entries, where ``found(uses, folded)`` gives those of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = Uses(entries.value)
+        counts = np.zeros((2, len(uses.names)), np.int64)
+        for batch in batches:
+            for folded, toxic in zip(batch.column("folded"), batch.column("toxic").to_pylist(), strict=True):
+                counts[toxic, found(uses, folded.as_py())] += 1
+        some = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array([uses.names[i] for i in some], pa.string()), *[pa.array(c[some]) for c in counts]], names=["term", "clean", "toxic"])
+
+    return train.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 class Phrases:
@@ -246,21 +340,6 @@ class Phrases:
         return self.uses.frequent(folded, self.bits.value)
 
 
-class Outside:
-    """Entries of a text outside their exceptions."""
-
-    def __init__(self, known):
-        self.known, self.uses = known, None
-
-    def __call__(self, folded: str) -> set[str]:
-        self.uses = self.uses or Uses(self.known.value[0])
-        return self.uses.outside(folded, self.known.value[1])
-
-
-def _term_counts(train: DataFrame, terms_of) -> DataFrame:
-    return train.mapInArrow(_counted(terms_of), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: int = TRAIN_ROWS) -> DataFrame:
     """At most ``limit`` texts with labels outside the held-out fifth. The labels are cut by hash, then joined by broadcast."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy(
@@ -271,7 +350,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, li
     once = rows.join(F.broadcast(repeated), "label_id", "left_anti")
     smallest = rows.join(F.broadcast(repeated), "label_id", "left_semi").groupBy("label_id").agg(F.min("text").alias("text"))
     both = [x.join(known, "label_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")) for x in (once, smallest)]
-    return written(both[0].unionByName(both[1]), "labelled")
+    return both[0].unionByName(both[1])
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -290,19 +369,31 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def learn(train: DataFrame) -> Lexicon:
     """Lexicon, exceptions and curve from rows of text and toxic (0 or 1)."""
+    train = written(train.mapInArrow(_folded, "folded string, toxic int"), "folded")
     size = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     toxic, clean = size["t"] or 0, size["n"] - (size["t"] or 0)
     if not toxic or not clean:
+        discard(train)
         return Lexicon({})
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     likelier = odds - 1.64 * error
     supported = F.col("toxic") >= MIN_SUPPORT
-    candidates = written(_term_counts(train, terms).where(supported & (likelier > 0)), "candidates")
-    share = train.sparkSession.sparkContext.broadcast
-    wide = share(frozenset(r["term"] for r in candidates.select("term").collect()))
-    bits = share(_supported_cells(train, wide))
-    pairs = _term_counts(train, Phrases(wide, bits))
+    share, harmful, harmfree = train.sparkSession.sparkContext.broadcast, train.where("toxic = 1"), train.where("toxic = 0")
+    names = lambda df: share(frozenset(r["term"] for r in df.select("term").collect()))
+
+    def counted_clean(terms: DataFrame, shared, found) -> DataFrame:
+        counts = _entry_counts(harmfree, shared, found).select("term", "clean")
+        return terms.select("term", "toxic").join(counts, "term", "left").select("term", F.coalesce("clean", F.lit(0)).alias("clean"), "toxic")
+
+    frequent = written(_term_counts(harmful, terms).where(supported).select("term", "toxic"), "supported")
+    candidates = written(counted_clean(frequent, names(frequent), Uses.met).where(likelier > 0), "candidates")
+    wide = names(candidates)
+    bits = share(_supported_cells(harmfree, wide))
+    # Exceptions are phrases of marked cells, so at least the texts that use a term outside of those count against it.
+    plausible = counted_clean(candidates, wide, lambda uses, folded: uses.bare(folded, bits.value)).where(likelier >= MIN_ODDS).select("term")
+    candidates = written(candidates.join(plausible, "term", "left_semi"), "plausible")
+    pairs = _term_counts(train, Phrases(names(candidates), bits))
     harmless = written(pairs.where((F.col("clean") >= MIN_SUPPORT) & (odds <= 0)).select(
         F.col("term").alias("phrase"), F.col("clean").alias("spared"), F.split("term", r"\|")[1].alias("term")), "harmless")
     # No recount gives a candidate fewer clean texts than these; the others need none.
@@ -310,20 +401,21 @@ def learn(train: DataFrame) -> Lexicon:
     hopeful = candidates.join(spared, "term", "left").withColumn(
         "clean", F.greatest(F.col("clean") - F.coalesce("spared", F.lit(0)), F.lit(0))).where(likelier >= MIN_ODDS).select("term")
     hopeful = written(hopeful, "hopeful")
-    names = frozenset(r["term"] for r in hopeful.collect())
     exceptions = frozenset(r["phrase"] for r in harmless.join(hopeful, "term", "left_semi").select("phrase").collect())
-    outside = _term_counts(train, Outside(share((names, exceptions))))
+    spare = share(exceptions)
+    outside = _entry_counts(train, names(hopeful), lambda uses, folded: uses.outside(folded, spare.value))
     rows = outside.where(supported & (likelier >= MIN_ODDS)).withColumn("odds", odds).collect()  # at most as many as the training rows allow
     lexicon = Lexicon({r["term"]: float(r["odds"]) for r in rows})
     lexicon.exceptions = frozenset(x for x in exceptions if x.split("|")[1] in lexicon.weights)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.measure(t.as_py() or "") for t in batch.column("text")]
+            found = [lexicon.measure_folded(t.as_py()) for t in batch.column("folded")]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int64()), batch.column("toxic")], names=["total", "words", "toxic"])
 
     # Three numbers per training row, whose number is bounded.
     rows = train.mapInArrow(measured, "total double, words long, toxic int").toPandas()
+    discard(train)
     total, words, y = (rows[c].to_numpy(float) for c in ("total", "words", "toxic"))
     fits = [(*_curve(np.log1p(total / words**power), y), power) for power in POWERS]
     lexicon.start, lexicon.slope, _, lexicon.power = min(fits, key=lambda f: f[2])

@@ -1,4 +1,4 @@
-"""Memory of decontamination tasks."""
+"""Memory of decontamination tasks; what the toxicity fit counts."""
 
 import random
 import tracemalloc
@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from daygraph.llm import decontaminate
+from daygraph.llm import decontaminate, toxicity
 from daygraph.llm import textbytes as X
 
 
@@ -42,3 +42,29 @@ def test_batches_go_through_in_shards(monkeypatch):
     monkeypatch.setattr(decontaminate, "AT_ONCE", 1)
     found = [decontaminate._scan(X.texts_of(p.column(1)), None, decontaminate.Windows(items))[1] for p in parts]
     assert [[m["item"] for m in f] for part in found for f in part] == [["i"], [], [], ["j"]]
+
+
+def test_folding_by_code_points_equals_the_rule():
+    """The rule took some 1.3 ms a text and was run in every pass."""
+    draw = random.Random(1)
+    signs = [*map(chr, [*range(0x20, 0x500), *range(0x2000, 0x2070), *range(0xFF01, 0xFF60), 0x3000, 0x1F600])] + list("_ -ΣİΟ") * 40
+    texts = ["", " ", "­", "__init__ -_- ΟΔΟΣ İa", *("".join(draw.choices(signs, k=draw.randrange(1, 30))) for _ in range(3000))]
+    assert [toxicity.fold(t) for t in texts] == [toxicity._fold_by_rule(t) for t in texts]
+
+
+def test_only_terms_that_may_be_entries_are_counted(spark, monkeypatch):
+    """Every term of every clean text and the phrases of all candidates were shuffled."""
+    rows = [(f"you vile{i} grumbo person", 1) for i in range(40)] + [("grumbo cheese is nice", 0)] * 30 + [
+        (f"the pit{i} was full of kind persons and stone{i} today", 0) for i in range(200)]
+    counted, real = [], toxicity._term_counts
+
+    def kept(*given):
+        counted.append({r["term"] for r in real(*given).collect()})
+        return real(*given)
+
+    monkeypatch.setattr(toxicity, "_term_counts", kept)
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert " grumbo " in lexicon.weights and "| grumbo |cheese" in lexicon.exceptions
+    terms, phrases = counted
+    assert " vile2 " in terms and not terms & {" stone2 ", " cheese ", " today "}
+    assert "| grumbo |cheese" in phrases and not any("| perso|" in p or " pers|" in p for p in phrases)
